@@ -5,9 +5,9 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from terraloom.llm import matroska, mixing, packing, repair
+from terraloom.llm import matroska, mixing, packing, repair, toxicity, warc
 from terraloom.llm.common import spread, table
 from terraloom.llm.tokens import vocabulary_path
 
@@ -19,6 +19,13 @@ def vocabulary(name: str) -> str:
     return f"{VOCABULARIES}/{name}" if VOCABULARIES else vocabulary_path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents"), ["doc_id", "text"])
+    labels = spread(table(spark, sf_dir, "labels"), ["doc_id", "toxic"])
+    scored = toxicity.score(docs, toxicity.train(docs, labels))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op2_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents"), ["doc_id", "text"])
     return matroska.add_media(docs, keep_media=False)
@@ -34,6 +41,14 @@ def op5_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_docs(repair.write_shards(docs, vocabulary("word_bpe_49k.json")))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages and a replica of them with bit rot: in one page of 64, by md5 of its id, the first character of a text is another."""
+    pages = spread(table(spark, sf_dir, "pages"), ["page_id", "url", "html"])
+    rot = F.substring(F.md5(F.col("page_id").cast("string")), 1, 2).isin("00", "40", "80", "c0") & (F.length("html") > 0)
+    replica = pages.withColumn("html", F.when(rot, F.concat(F.lit("#"), F.substring("html", 2, 1 << 30))).otherwise(F.col("html")))
+    return warc.audit_pages(pages, replica)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents"), ["doc_id", "text"])
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
@@ -41,9 +56,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_matroska": op2_matroska,
         "op3_mixing": op3_mixing,
         "op5_repair": op5_repair,
+        "op9_warc": op9_warc,
         "op10_packing": op10_packing,
     }
 
