@@ -29,9 +29,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from terraloom.llm.common import store, tune
 
-SIZES = (3, 4, 5)
+SIZES = (3, 4, 5, 6)
 BUCKETS = 1 << 20
-FEATURES = 20_000
+FEATURES = 2_000
 SAMPLE = 12_000
 FOLDS = 5
 SMOOTH = 1.0
