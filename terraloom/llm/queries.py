@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from terraloom.llm import matroska, mixing, packing, repair, toxicity, warc
+from terraloom.llm import matroska, mixing, nearjoin, packing, repair, toxicity, warc
 from terraloom.llm.common import spread, table
 from terraloom.llm.tokens import vocabulary_path
 
@@ -36,6 +36,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, slim=True).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents"), ["doc_id", "text"])
+    return nearjoin.join(docs).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents"), ["doc_id", "text"])
     return repair.read_docs(repair.write_shards(docs, vocabulary("word_bpe_49k.json")))
@@ -59,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op2_matroska": op2_matroska,
         "op3_mixing": op3_mixing,
+        "op4_ngram_jaccard": op4_ngram_jaccard,
         "op5_repair": op5_repair,
         "op9_warc": op9_warc,
         "op10_packing": op10_packing,
