@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from terraloom.llm import hilbert, linededup, matroska, mixing, nearjoin, packing, repair, toxicity, warc
+from terraloom.llm import hilbert, linededup, matroska, mixing, nearjoin, packing, repair, template, toxicity, warc
 from terraloom.llm.common import spread, table
 from terraloom.llm.tokens import vocabulary_path
 
@@ -50,6 +50,10 @@ def op6_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.search(spread(table(spark, sf_dir, "embeddings"), ["vec_id", "embedding"]))
 
 
+def op7_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template.main_texts(spread(table(spark, sf_dir, "pages"), ["page_id", "url", "html"]))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(spread(table(spark, sf_dir, "documents"), ["doc_id", "text"])).select("doc_id", "n_lines", "n_removed", F.concat_ws(",", "removed_lines").alias("removed_lines"))
 
@@ -75,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_ngram_jaccard": op4_ngram_jaccard,
         "op5_repair": op5_repair,
         "op6_hilbert_ann": op6_hilbert_ann,
+        "op7_html_template": op7_html_template,
         "op8_line_dedup": op8_line_dedup,
         "op9_warc": op9_warc,
         "op10_packing": op10_packing,
