@@ -20,3 +20,11 @@ def query(name: str, oracle: str | None = None):
         return f
 
     return register
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from terraloom.plans import spatial  # noqa: F401
+
+
+load()
