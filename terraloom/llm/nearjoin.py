@@ -8,8 +8,8 @@ with equal sets collapse to one point first. The join then works in rounds:
    ``floor(radius * n) + 1`` shingles of either in that order, so a shingle
    that stands there in two sets or more is a cell; sets that share no cell
    are farther apart than ``radius`` and need no distance.
-2. Pivots. In each open cell, the points of least random priority become
-   pivots; each gets its exact distance to every point of its cells.
+2. Pivots. In each open cell the most central point becomes the pivot and
+   gets its exact distance to every point of the cell that could be near.
 3. Voronoi regions. A point within ``radius`` of a pivot belongs to the
    region of the nearest one. By the triangle inequality, two points of a
    region whose distances to the pivot sum to ``radius`` or less are linked,
@@ -41,7 +41,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from terraloom.llm.common import store, tune
 
@@ -54,7 +54,7 @@ UNIT_DOCS = 1 << 14  #: documents whose shingles a task sorts at once
 UNIT_SHINGLES = 1 << 21
 COMMON = 128  #: a code in so many documents of a unit travels without them
 BITS = 1 << 23  #: of the filter that spares texts no pair needs
-ROUNDS = 5
+ROUNDS = 8
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SPACE = np.zeros(256, bool)
@@ -168,7 +168,9 @@ def _unblock(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def cells(docs: DataFrame, shingles: int, num: int = NUM, den: int = DEN, words: int = WORDS) -> DataFrame:
-    """(cell, id, n) of the first shingles of ``docs`` (doc_id, text) that stand in two sets or more.
+    """(cell, id, n, at) of the first shingles of ``docs`` (doc_id, text) that stand in two sets or more.
+
+    ``at`` is the shingle's place in its set, rarest first.
 
     ``shingles`` is their number in all and sets how many ranges count.
     """
@@ -276,15 +278,16 @@ def cells(docs: DataFrame, shingles: int, num: int = NUM, den: int = DEN, words:
         have = np.bincount(doc, minlength=len(ids))
         place = np.arange(len(doc)) - (np.cumsum(have) - have)[doc]
         # Shingles no other set holds come first; they make no cell.
-        keep = place < (reach(lens, num, den) - (lens - have))[doc]
-        return pa.table({"cell": pa.array(code[keep].astype(np.int64)), "id": pa.array(ids[doc[keep]]), "n": pa.array(lens[doc[keep]])})
+        place += (lens - have)[doc]
+        keep = place < reach(lens, num, den)[doc]
+        return pa.table({"cell": pa.array(code[keep].astype(np.int64)), "id": pa.array(ids[doc[keep]]), "n": pa.array(lens[doc[keep]]), "at": pa.array(place[keep])})
 
     kind = "unit long, range int, block binary"
     blocks = docs.select("doc_id", "text").mapInArrow(codes_of, kind)
     # A unit's head needs no counting: it gets a range of its own.
     spot = F.when(F.col("range") < 0, -1 - F.col("unit")).otherwise(F.col("range")).alias("spot")
     back = blocks.select("unit", "range", "block", spot).groupBy("spot").applyInArrow(lambda t: counted(t.select(["unit", "range", "block"])), kind)
-    return back.groupBy("unit").applyInArrow(firsts, "cell long, id long, n long").distinct()
+    return back.groupBy("unit").applyInArrow(firsts, "cell long, id long, n long, at long").groupBy("cell", "id").agg(F.max("n").alias("n"), F.min("at").alias("at"))
 
 
 def distances(docs: DataFrame, pairs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -319,37 +322,62 @@ def distances(docs: DataFrame, pairs: DataFrame, words: int = WORDS) -> DataFram
     return rows.select("a", "b", "codes_a", "codes_b").mapInArrow(meet, "a long, b long, na long, nb long, both long")
 
 
+def merged(cut: DataFrame) -> DataFrame:
+    """``cut`` without cells of one set, and with one cell for all that hold the same sets.
+
+    Such cells would show the same pairs; the earliest place stands for all.
+    """
+    per = cut.groupBy("cell").agg(F.count(F.lit(1)).alias("_c"), F.bit_xor(F.xxhash64("id")).alias("_x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("_y"))
+    per = per.where(F.col("_c") > 1)
+    chosen = per.groupBy("_c", "_x", "_y").agg(F.min("cell").alias("_cell"))
+    per = per.join(chosen, ["_c", "_x", "_y"]).select("cell", "_cell")
+    return cut.join(per, "cell").groupBy(F.col("_cell").alias("cell"), "id").agg(F.max("n").alias("n"), F.min("at").alias("at"))
+
+
 def links(docs: DataFrame, cut: DataFrame, num: int = NUM, den: int = DEN, words: int = WORDS) -> DataFrame:
-    """Edges (a, b) that connect exactly what is linked, by rounds of pivots over ``cut`` (cell, id, n)."""
+    """Edges (a, b) that connect exactly what is linked, by rounds of pivots over ``cut`` (cell, id, n, at).
+
+    The pivot of a cell is its most central point: the one with the fewest
+    shingles of its own before the cell's. A pair whose shingles from the
+    cell's on can't make up the overlap it needs is no pair (the first shingle
+    that two sets share bounds their overlap).
+    """
     radius = 1 - num / den
     similar = (F.col("na") + F.col("nb")) * num <= F.col("both") * (num + den)
     apart = 1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
-    shaped = lambda x, y: F.least(x, y) * den >= F.greatest(x, y) * num
-    state = cut.withColumn("home", F.lit(None).cast("long"))
+
+    def possible(na: Column, ata: Column, nb: Column, atb: Column) -> Column:
+        shaped = F.least(na, nb) * den >= F.greatest(na, nb) * num
+        return shaped & (F.least(na - ata, nb - atb) * (num + den) >= (na + nb) * num)
+
+    state = store(cut.select("cell", "id", "n", "at", F.lit(None).cast("long").alias("home")), "near-state")
     edges: DataFrame | None = None
     for level in range(ROUNDS):
-        per = state.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.col("home").isNotNull().alias("later"), F.xxhash64("id", F.lit(level)).alias("draw"), "id", "n")).alias("first"), F.count("home").alias("inside"))
-        per = per.where((F.col("size") > 1) & (F.col("inside") < F.col("size")))
+        first = F.struct(F.col("home").isNotNull().alias("later"), (F.col("at") / F.col("n")).alias("draw"), "id", "n", "at")
+        per = state.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.min(first).alias("first"), F.count("home").alias("inside"))
+        per = store(per.where((F.col("size") > 1) & (F.col("inside") < F.col("size"))), "near-open")
         big = per.where(F.col("size") > LEAF) if level < ROUNDS - 1 else per.where(F.lit(False))
         leaf = per.where(F.col("size") <= LEAF) if level < ROUNDS - 1 else per
-        to_pivot = state.join(big.select("cell", F.col("first.id").alias("pivot"), F.col("first.n").alias("pn")), "cell").where(F.col("id") != F.col("pivot"))
+        to_pivot = state.join(big.select("cell", F.col("first.id").alias("pivot"), F.col("first.n").alias("pn"), F.col("first.at").alias("pat")), "cell").where(F.col("id") != F.col("pivot"))
         to_pivot = store(to_pivot, "near-cells")
         inner = state.join(leaf.select("cell"), "cell", "left_semi")
-        left, right = inner.select("cell", F.col("id").alias("a"), F.col("n").alias("xa"), F.col("home").alias("ha")), inner.select("cell", F.col("id").alias("b"), F.col("n").alias("xb"), F.col("home").alias("hb"))
-        outright = left.join(right, "cell").where((F.col("a") < F.col("b")) & (F.col("ha").isNull() | ~F.col("ha").eqNullSafe(F.col("hb"))) & shaped(F.col("xa"), F.col("xb")))
-        pairs = to_pivot.select(F.col("pivot").alias("a"), F.col("id").alias("b")).union(outright.select("a", "b")).distinct()
-        pairs = store(pairs, "near-pairs")
+        left, right = (inner.select("cell", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("at").alias(f"at_{x}"), F.col("home").alias(f"home_{x}")) for x in "ab")
+        may = possible(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b")) & (F.col("home_a").isNull() | ~F.col("home_a").eqNullSafe(F.col("home_b")))
+        outright = left.join(right, "cell").where((F.col("a") < F.col("b")) & may)
+        central = to_pivot.where(possible(F.col("n"), F.col("at"), F.col("pn"), F.col("pat")))
+        pairs = store(central.select(F.col("pivot").alias("a"), F.col("id").alias("b")).union(outright.select("a", "b")).distinct(), "near-pairs")
         found = store(distances(docs, pairs, words), "near-distances")
         near = found.where(similar).select("a", "b")
         edges = near if edges is None else edges.union(near)
         if level == ROUNDS - 1 or to_pivot.isEmpty():
             break
         far = found.select(F.col("a").alias("pivot"), F.col("b").alias("id"), apart.alias("apart"), similar.alias("linked"))
-        judged = to_pivot.join(far, ["pivot", "id"])
+        # A pair that was ruled out is farther than the radius; how far, isn't known.
+        judged = to_pivot.join(far, ["pivot", "id"], "left").withColumn("linked", F.coalesce("linked", F.lit(False))).withColumn("apart", F.coalesce("apart", F.lit(radius)))
         edge = judged.where(~F.col("linked")).groupBy("cell").agg(F.min("apart").alias("_nearest"))
         judged = judged.join(edge, "cell")  # cells without a point outside are done
         inside = F.col("linked") & (F.col("apart") >= F.col("_nearest") - radius - 1e-9)
-        state = judged.where(~F.col("linked") | inside).select("cell", "id", "n", F.when(F.col("linked"), F.col("pivot")).otherwise(F.col("home")).alias("home"))
+        state = judged.where(~F.col("linked") | inside).select("cell", "id", "n", "at", F.when(F.col("linked"), F.col("pivot")).otherwise(F.col("home")).alias("home"))
         state = store(state, "near-state")
     return store(edges.distinct(), "near-links")
 
@@ -381,9 +409,7 @@ def join(docs: DataFrame, num: int = NUM, den: int = DEN, words: int = WORDS) ->
     classes = store(classes, "near-classes")
     total = every.agg(F.sum("n_shingles")).first()[0] or 0
     cut = cells(docs, total, num, den, words).join(classes.select(F.col("class_id").alias("id")), "id", "left_semi")
-    cut = store(cut.select("cell", "id", "n"), "near-cells")
-    shared = cut.groupBy("cell").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > 1)
-    cut = store(cut.join(shared.select("cell"), "cell", "left_semi"), "near-cells")
+    cut = merged(store(cut.select("cell", "id", "n", "at"), "near-cells"))
     parts = components(links(docs, cut, num, den, words))
     classes = classes.join(parts, classes["class_id"] == parts["id"], "left").select("p1", "p2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     out = every.join(classes, ["p1", "p2"], "left")
