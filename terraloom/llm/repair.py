@@ -213,7 +213,9 @@ def with_base(shards: DataFrame) -> DataFrame:
     parts = parts.select("part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     inside = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     heads = heads.withColumn("_in", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(parts, "part")
-    return shards.join(heads.select("part", "shard", (F.col("_base") + F.col("_in")).alias("base")), ["part", "shard"])
+    # A row of three numbers a shard; stored, so Spark knows its size and, while it is small, leaves the blobs where they are.
+    heads = store(heads.select("part", "shard", (F.col("_base") + F.col("_in")).alias("base")), "shard-bases")
+    return shards.join(heads, ["part", "shard"])
 
 
 def read_docs(shards: DataFrame, with_ids: bool = False) -> DataFrame:

@@ -16,6 +16,8 @@ import numpy as np
 
 #: Odd white space, control, combining and joining characters, and starts of special tokens.
 _ODD = re.compile("[\x00-\x09\x0b-\x1f\x7f-\xa0̀-ͯᄀ-ᇿ ᠎ -‏ -  -⁤　゙゚﻿]|  |\n\n| \n|\n |<\\|")
+#: Marks that may follow a word; none starts a contraction.
+_MARKS = ".,;:!?%*&$#|"
 _MOST = 1_200_000  #: pieces a worker keeps
 
 
@@ -39,6 +41,8 @@ class Encoder:
         #: Pieces as they stand after a space; where white space is dropped, as they stand anywhere.
         self.cache: dict[str, bytes] = {}
         self.space = "" if self.tokenizer.normalizer is not None else " "
+        #: Runs of marks as they stand after a letter.
+        self.marks: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -49,10 +53,34 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def learn(self, new: list[str]) -> None:
+        """Put pieces into the cache. A word and the marks after it never merge, so both are looked up apart."""
+        cache, marks, space = self.cache, self.marks, self.space
+        parted, bare, tails = [], set(), set()
+        for p in new:
+            word = p.rstrip(_MARKS)
+            if word != p and word.isalpha():
+                tail = p[len(word) :]
+                parted.append((p, word, tail))
+                if word not in cache:
+                    bare.add(word)
+                if tail not in marks:
+                    tails.add(tail)
+            else:
+                bare.add(p)
+        some = list(bare)
+        for i in range(0, len(some), 50_000):
+            part = some[i : i + 50_000]
+            cache.update(zip(part, self.whole([space + p for p in part] if space else part)))
+        if tails:
+            marks.update(zip(tails, self.whole(list(tails))))
+        cache.update([(p, cache[word] + marks[tail]) for p, word, tail in parted])
+
     def ids(self, texts: list[str | None]) -> list[bytes]:
         cache, space = self.cache, self.space
         if len(cache) > _MOST:
             cache.clear()
+            self.marks.clear()
         cuts: list[list[str] | None] = []
         seen: set[str] = set()
         for text in texts:
@@ -61,10 +89,7 @@ class Encoder:
                 continue
             cuts.append(pieces := text.split(" "))
             seen.update(pieces)
-        new = [p for p in seen if p not in cache]
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
-            cache.update(zip(part, self.whole([space + p for p in part])))
+        self.learn([p for p in seen if p not in cache])
         out = []
         for text, pieces in zip(texts, cuts):
             if pieces is None:
