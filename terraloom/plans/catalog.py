@@ -24,7 +24,7 @@ def query(name: str, oracle: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from terraloom.plans import graphs, ranking, spatial  # noqa: F401
+    from terraloom.plans import fields, graphs, ranking, spatial  # noqa: F401
 
 
 load()
