@@ -1,7 +1,7 @@
 """HTML extraction by equivalence-class template deduction.
 
 Tokens of a page are its elements, each by its path of tags and classes, and
-its pieces of text outside articles, each by path and wording. Across the
+its blocks of text outside articles, each by path and wording. Across the
 pages of a host every token has an occurrence vector: how often it stands on
 each page. Tokens with equal vectors form an equivalence class. A class is
 valid if it is frequent (``SHARE`` of the host's pages, ``PAGES`` at least)
@@ -158,6 +158,14 @@ def _squeezed(text: str) -> str:
     return " ".join(text.split())
 
 
+def _blocks(pieces) -> list[list[Piece]]:
+    """Pieces by the block they stand in, in page order."""
+    out: dict[int, list[Piece]] = {}
+    for p in pieces:
+        out.setdefault(p.block, []).append(p)
+    return list(out.values())
+
+
 def _hash(*parts: str) -> int:
     return xxhash.xxh3_64_intdigest("\x1f".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
 
@@ -179,8 +187,8 @@ def tokens(page: str | None) -> list[tuple[int, int, int, int, int, bool]]:
         k = len(p.text)
         chars[p.path] += k
         linked[p.path] += k * p.link
-        if not p.main and not p.apart:
-            words[p.path, _squeezed(p.text)] += 1
+    for block in _blocks(p for p in pieces if not p.main and not p.apart):
+        words[block[0].path, _squeezed("".join(p.text for p in block))] += 1
     for path, n in paths.items():
         up = path.rpartition("/")[0]
         out.append((_hash(path), _hash(up) if up else 0, n, chars[path], linked[path], False))
@@ -195,12 +203,9 @@ def extract(page: str | None, dropped: frozenset[int] | set[int] = frozenset())
     if any(p.main and not p.text.isspace() for p in kept):
         kept = [p for p in kept if p.main]
     elif dropped:
-        kept = [p for p in kept if _hash(p.path) not in dropped and _hash(p.path, "text", _squeezed(p.text)) not in dropped]
-    blocks: dict[int, list[str]] = {}
-    for p in kept:
-        blocks.setdefault(p.block, []).append(p.text)
-    found = (_squeezed("".join(b)) for b in blocks.values())
-    return "\n\n".join(b for b in found if b)
+        kept = [p for p in kept if _hash(p.path) not in dropped]
+    found = ((block[0], _squeezed("".join(p.text for p in block))) for block in _blocks(kept))
+    return "\n\n".join(b for first, b in found if b and (first.main or not dropped or _hash(first.path, "text", b) not in dropped))
 
 
 def templates(pages: DataFrame) -> DataFrame:
