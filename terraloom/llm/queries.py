@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from terraloom.llm import hilbert, linededup, matroska, mixing, nearjoin, packing, repair, template, toxicity, warc
 from terraloom.llm.common import spread, table
+from terraloom.llm.oracles import ORACLES
 from terraloom.llm.tokens import vocabulary_path
 
 #: Where tokenizer files lie; unset, the installed package says.
@@ -87,4 +88,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
