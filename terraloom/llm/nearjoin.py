@@ -359,7 +359,10 @@ def links(docs: DataFrame, cut: DataFrame, num: int = NUM, den: int = DEN, words
         big = per.where(F.col("size") > LEAF) if level < ROUNDS - 1 else per.where(F.lit(False))
         leaf = per.where(F.col("size") <= LEAF) if level < ROUNDS - 1 else per
         to_pivot = state.join(big.select("cell", F.col("first.id").alias("pivot"), F.col("first.n").alias("pn"), F.col("first.at").alias("pat")), "cell").where(F.col("id") != F.col("pivot"))
-        to_pivot = store(to_pivot, "near-cells")
+        # Cells of one pivot go on as one: what shared a cell still does, and the earliest place stands for all.
+        one = F.when((F.min("home") == F.max("home")) & (F.count("home") == F.count(F.lit(1))), F.min("home"))
+        to_pivot = to_pivot.groupBy("pivot", "id").agg(F.max("n").alias("n"), F.min("at").alias("at"), one.alias("home"), F.max("pn").alias("pn"), F.min("pat").alias("pat"))
+        to_pivot = store(to_pivot.withColumn("cell", F.col("pivot")), "near-cells")
         inner = state.join(leaf.select("cell"), "cell", "left_semi")
         left, right = (inner.select("cell", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("at").alias(f"at_{x}"), F.col("home").alias(f"home_{x}")) for x in "ab")
         may = possible(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b")) & (F.col("home_a").isNull() | ~F.col("home_a").eqNullSafe(F.col("home_b")))
