@@ -354,8 +354,10 @@ def links(docs: DataFrame, cut: DataFrame, num: int = NUM, den: int = DEN, words
     edges: DataFrame | None = None
     for level in range(ROUNDS):
         first = F.struct(F.col("home").isNotNull().alias("later"), (F.col("at") / F.col("n")).alias("draw"), "id", "n", "at")
-        per = state.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.min(first).alias("first"), F.count("home").alias("inside"))
-        per = store(per.where((F.col("size") > 1) & (F.col("inside") < F.col("size"))), "near-open")
+        # Homes that differ leave a cell open: points of two regions have not been compared.
+        whole = (F.count("home") == F.count(F.lit(1))) & (F.min("home") == F.max("home"))
+        per = state.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.min(first).alias("first"), F.coalesce(whole, F.lit(False)).alias("whole"))
+        per = store(per.where((F.col("size") > 1) & ~F.col("whole")), "near-open")
         big = per.where(F.col("size") > LEAF) if level < ROUNDS - 1 else per.where(F.lit(False))
         leaf = per.where(F.col("size") <= LEAF) if level < ROUNDS - 1 else per
         to_pivot = state.join(big.select("cell", F.col("first.id").alias("pivot"), F.col("first.n").alias("pn"), F.col("first.at").alias("pat")), "cell").where(F.col("id") != F.col("pivot"))

@@ -165,6 +165,27 @@ def test_jaccard_join(spark, odd, leaf, monkeypatch):
         assert (got[i]["component_id"], got[i]["n_shingles"]) == (c, len(sets[i])), i
 
 
+def test_regions_bridged_by_one_link_are_one_component(spark):
+    """Two groups of more than LEAF, each closed around its pivot, whose only link runs between their boundaries."""
+    size = 70
+
+    def swapped(k: int, own: int) -> str:
+        """The first k words of the template swapped, and, if not 0, the last one."""
+        w = [f"u{i}" if i < k else f"t{i}" for i in range(size)]
+        return " ".join([*w[:-1], f"own{own}"] if own else w)
+
+    # Pivots 0 and 100, 17 swaps apart; y1 = 50 and y2 = 150 are 6 swaps from their pivot, 5 from each other.
+    texts = {0: swapped(0, 0), 50: swapped(6, 0), 100: swapped(17, 0), 150: swapped(11, 0)}
+    texts |= {k: swapped(0, k) for k in range(1, 31)} | {k: swapped(17, k) for k in range(101, 131)}
+    sets = {k: set(t.split()) for k, t in texts.items()}
+    linked = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert {(a, b) for a, b in linked if a < 100 <= b} == {(50, 150)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    cut = spark.createDataFrame([(1, k, size, 0) for k in texts], "cell long, id long, n long, at long")
+    parts = {r["id"]: r["component"] for r in nearjoin.components(nearjoin.links(docs, cut, words=1)).collect()}
+    assert parts == dict.fromkeys(texts, 0)
+
+
 def test_jaccard_join_of_nothing(empty):
     assert nearjoin.join(empty).count() == 0
 
