@@ -6,8 +6,10 @@
 copies that its expected count makes certain and draws the rest by Pareto
 order sampling: with ``u`` uniform per document and ``p`` its inclusion
 probability, documents rank by ``u/(1-u) / (p/(1-p))``, and the first ones
-are taken until the source's remaining words are full; of the ``FILL`` ranks
-that follow, those that still fit are taken too. The sample's size is thus
+are taken until one doesn't fit the source's remaining words. That one is
+passed over, and so on through all later ranks: whatever still fits is taken.
+This goes by turns of ``FILL`` ranks put in order and a search, by slices, for
+the next rank that doesn't fit, until none fits. The sample's size is thus
 fixed in words. Of the documents left, the one whose size comes nearest to
 what is still missing closes the gap.
 
@@ -30,7 +32,7 @@ from terraloom.llm.common import WORD, store
 
 SLICES = 4096
 UNIT = 1 << 52
-FILL = 64  #: ranks after the first that doesn't fit, of which those that fit are taken too
+FILL = 64  #: ranks put in order at once after one that doesn't fit
 
 
 def n_words(text: Column) -> Column:
@@ -72,7 +74,7 @@ def rank_key(seed: str, doc: Column, share: Column) -> Column:
 
 def _filled(rows: DataFrame, slice_of: Column) -> DataFrame:
     """Per source the slice in which the words run out, and the words before it."""
-    sums = rows.groupBy("source", slice_of.alias("_slice")).agg(F.sum("size").alias("_words"), F.max("_left").alias("_left"))
+    sums = rows.groupBy("source", slice_of.alias("_slice")).agg(F.sum("words").alias("_words"), F.max("_left").alias("_left"))
     run = Window.partitionBy("source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
     sums = sums.withColumn("_upto", F.sum("_words").over(run))
     return sums.where(F.col("_upto") > F.col("_left")).groupBy(F.col("source").alias("_source")).agg(F.min("_slice").alias("_edge"), F.min_by(F.col("_upto") - F.col("_words"), "_slice").alias("_before"))
@@ -102,33 +104,57 @@ def mix(docs: DataFrame, seed: str = "mix", max_epochs: int = 3, odds: str | Non
         return by_source(rows, plan).withColumn("_key", rank_key(seed, F.col("doc_id"), share))
 
     me = F.struct("_key", "doc_id", "size")
-    draws = ranks(small).where(F.col("_key").isNotNull() & (F.col("size") > 0)).withColumn("_place", F.floor(F.col("_key") / (1 + F.col("_key")) * (SLICES * SLICES)).cast("long"))
-    draws = draws.select("doc_id", "source", "size", "_key", "_place", "_left")
-    first = store(_filled(draws, F.floor(F.col("_place") / SLICES)), "mix-slice")
-    inner = by_source(draws, first).where(F.floor(F.col("_place") / SLICES) == F.col("_edge")).withColumn("_left", F.col("_left") - F.col("_before")).drop("_edge", "_before")
-    second = store(_filled(inner, F.col("_place")), "mix-slice")
-    last = by_source(inner, second).where(F.col("_place") == F.col("_edge")).withColumn("_left", F.col("_left") - F.col("_before"))
-    run = Window.partitionBy("source").orderBy(me).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    last = last.withColumn("_sum", F.sum("size").over(run))
-    # The first rank that no longer fits, and the words still missing there.
-    fits = F.col("_sum") <= F.col("_left")
-    edge = last.groupBy(F.col("source").alias("_source")).agg(F.min(F.when(~fits, me)).alias("_edge"), (F.max("_left") - F.coalesce(F.max(F.when(fits, F.col("_sum"))), F.lit(0))).alias("_gap"))
-    edge = store(edge, "mix-edge")
-    # The next ranks that fit what is missing, then the one document that comes nearest to the rest of it.
-    rest = by_source(draws, edge).where(me >= F.col("_edge"))
+
+    def first_over(rows: DataFrame) -> DataFrame:
+        """Per source the first rank that no longer fits ``_left``, and the words still missing there; no row if all fit."""
+        first = store(_filled(rows, F.floor(F.col("_place") / SLICES)), "mix-slice")
+        inner = by_source(rows, first).where(F.floor(F.col("_place") / SLICES) == F.col("_edge")).withColumn("_left", F.col("_left") - F.col("_before")).drop("_edge", "_before")
+        second = store(_filled(inner, F.col("_place")), "mix-slice")
+        last = by_source(inner, second).where(F.col("_place") == F.col("_edge")).withColumn("_left", F.col("_left") - F.col("_before"))
+        run = Window.partitionBy("source").orderBy(me).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        last = last.withColumn("_sum", F.sum("words").over(run))
+        fits = F.col("_sum") <= F.col("_left")
+        return store(last.groupBy(F.col("source").alias("_source")).agg(F.min(F.when(~fits, me)).alias("_edge"), (F.max("_left") - F.coalesce(F.max(F.when(fits, F.col("_sum"))), F.lit(0))).alias("_gap")), "mix-edge")
+
+    # Repeated rows are one draw of all their words.
+    draws = ranks(small).where(F.col("_key").isNotNull() & (F.col("size") > 0)).groupBy("source", "doc_id", "size", "_key", "_left").agg(F.sum("size").alias("words"))
+    draws = store(draws.withColumn("_place", F.floor(F.col("_key") / (1 + F.col("_key")) * (SLICES * SLICES)).cast("long")), "mix-draws")
+    fill = first_over(draws)
+    at = f"struct<_key:double,doc_id:{small.schema['doc_id'].dataType.simpleString()},size:bigint>"
+    fill = fill.withColumn("_at", F.col("_edge")).withColumn("_got", F.expr(f"cast(array() as array<{at}>)")).withColumn("_runs", F.expr(f"cast(array() as array<struct<from:{at},to:{at},most:double>>)"))
+    fill = store(fill.withColumn("_gap", F.col("_gap").cast("double")).withColumn("_open", F.lit(True)), "mix-fill")
     nth = F.row_number().over(Window.partitionBy("source").orderBy(me))
-    queue = rest.where(F.col("size") <= F.col("_gap")).withColumn("_nth", nth).where(F.col("_nth") <= FILL)
-    queue = queue.groupBy(F.col("source").alias("_filled")).agg(F.array_sort(F.collect_list(me)).alias("_queue"))
-    fill = edge.join(queue, edge["_source"].eqNullSafe(queue["_filled"]), "left").drop("_filled")
-    none = F.filter("_queue", lambda x: F.lit(False))
-    step = lambda acc, x: F.when(x["size"] <= acc["gap"], F.struct((acc["gap"] - x["size"]).alias("gap"), F.array_append(acc["got"], x).alias("got"))).otherwise(acc)
-    fill = fill.withColumn("_fold", F.aggregate("_queue", F.struct(F.col("_gap").alias("gap"), none.alias("got")), step))
-    fill = store(fill.select("_source", "_edge", F.coalesce("_fold.gap", "_gap").alias("_gap"), F.col("_fold.got").alias("_got")), "mix-fill")
-    got = F.coalesce(F.array_contains("_got", me), F.lit(False))
-    off = F.struct(F.abs(F.col("_gap") - F.col("size")).alias("d"), me.alias("at"))
+    step = lambda acc, x: F.when(x["words"] <= acc["gap"], F.struct((acc["gap"] - x["words"]).alias("gap"), F.array_append(acc["got"], x["me"]).alias("got"))).otherwise(acc)
+    while True:
+        # The next ranks that fit what is missing, in order.
+        rest = by_source(draws, fill.where("_open").select("_source", "_at", "_gap")).where((me > F.col("_at")) & (F.col("words") <= F.col("_gap")))
+        queue = rest.withColumn("_nth", nth).where(F.col("_nth") <= FILL)
+        queue = queue.groupBy(F.col("source").alias("_filled")).agg(F.array_sort(F.collect_list(F.struct(me.alias("me"), "words"))).alias("_queue"))
+        fill = fill.join(queue, fill["_source"].eqNullSafe(queue["_filled"]) & fill["_open"], "left").drop("_filled")
+        fill = fill.withColumn("_fold", F.aggregate("_queue", F.struct(F.col("_gap").alias("gap"), F.col("_got").alias("got")), step))
+        fill = fill.withColumn("_gap", F.coalesce("_fold.gap", "_gap")).withColumn("_got", F.coalesce("_fold.got", "_got"))
+        fill = fill.withColumn("_at", F.coalesce(F.element_at("_queue", -1)["me"], "_at")).withColumn("_open", F.coalesce(F.size("_queue") == FILL, F.lit(False)))
+        fill = store(fill.drop("_queue", "_fold"), "mix-fill")
+        more = fill.where("_open").select("_source", "_at", "_gap")
+        if more.isEmpty():
+            break
+        # Then all that fit, up to the first that no longer does.
+        rest = by_source(draws.drop("_left"), more).where((me > F.col("_at")) & (F.col("size") <= F.col("_gap"))).withColumn("_left", F.col("_gap")).drop("_at", "_gap")
+        over = first_over(rest).select(F.col("_source").alias("_over"), F.col("_edge").alias("_to"), F.col("_gap").alias("_less"))
+        sums = rest.groupBy(F.col("source").alias("_summed")).agg(F.sum("words").alias("_words"))
+        fill = fill.join(over, fill["_source"].eqNullSafe(over["_over"]) & fill["_open"], "left").join(sums, fill["_source"].eqNullSafe(sums["_summed"]) & fill["_open"], "left")
+        taken = F.struct(F.col("_at").alias("from"), F.col("_to").alias("to"), F.col("_gap").alias("most"))
+        fill = fill.withColumn("_runs", F.when(F.col("_words").isNotNull(), F.array_append("_runs", taken)).otherwise(F.col("_runs")))
+        fill = fill.withColumn("_gap", F.coalesce("_less", F.col("_gap") - F.col("_words"), "_gap").cast("double"))
+        fill = fill.withColumn("_open", F.col("_to").isNotNull()).withColumn("_at", F.coalesce("_to", "_at"))
+        fill = store(fill.drop("_over", "_to", "_less", "_summed", "_words"), "mix-fill")
+    later = F.exists("_runs", lambda r: (me > r["from"]) & (r["to"].isNull() | (me < r["to"])) & (F.col("size") <= r["most"]))
+    got = F.coalesce(F.array_contains("_got", me) | later, F.lit(False))
+    # The one document that comes nearest to the rest.
+    off = F.struct(F.abs(F.col("_gap") - F.col("words")).alias("d"), me.alias("at"))
     closing = by_source(draws, fill).where((me >= F.col("_edge")) & ~got).groupBy(F.col("source").alias("_closed")).agg(F.min(off).alias("_c"), F.max("_gap").alias("_g"))
     closing = closing.where(F.col("_c.d") < F.col("_g")).select("_closed", F.col("_c.at").alias("_close"))
-    edges = store(fill.join(closing, fill["_source"].eqNullSafe(closing["_closed"]), "left").select("_source", "_edge", "_got", "_close"), "mix-edges")
+    edges = store(fill.join(closing, fill["_source"].eqNullSafe(closing["_closed"]), "left").select("_source", "_edge", "_got", "_runs", "_close"), "mix-edges")
 
     out = by_source(ranks(small if slim else docs), edges, "left")
     drawn = F.col("_key").isNotNull() & (F.col("size") > 0) & (F.col("_edge").isNull() | (me < F.col("_edge")) | got | (F.col("_close").isNotNull() & (me == F.col("_close"))))

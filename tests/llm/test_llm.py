@@ -1,5 +1,6 @@
 """The training-data operators against brute force, and their defined results for odd rows."""
 
+import hashlib
 import itertools
 import math
 import re
@@ -131,6 +132,36 @@ def test_mix_comes_near_and_agrees(spark, odd, empty):
     assert mixing.mixed_rows(d).columns == d.columns
 
 
+def test_mix_fills_the_gap_before_a_long_document(spark):
+    """All later ranks that fit are taken, far more than FILL, when a long document doesn't fit."""
+    rng = np.random.default_rng(4)
+    sizes = {i: int(rng.integers(3, 8)) for i in range(1, 601)} | {0: 2000}
+    total = sum(sizes.values()) // 2 * 2
+    sizes[600] -= sum(sizes.values()) - total
+    left = total // 2  # the other source holds as much again as half of this one, so half of each is left to draw
+
+    def order(seed):
+        return sorted(sizes, key=lambda i: int(hashlib.md5(f"{seed}{i}".encode()).hexdigest()[:13], 16))
+
+    def greedy(seed):
+        gap, took, at_long = left, set(), None
+        for i in order(seed):
+            if sizes[i] <= gap:
+                gap, took = gap - sizes[i], took | {i}
+            elif i == 0:
+                at_long = gap
+        return took, gap, at_long
+
+    seed = next(s for s in (f"mix{k}" for k in range(1000)) if (greedy(s)[2] or 0) > 1000)
+    took, gap, _ = greedy(seed)
+    rows = [(i, " ".join(["w"] * n), "a") for i, n in sizes.items()] + [(9999, " ".join(["w"] * left), "b")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), seed=seed, slim=True).where("source = 'a'").toPandas()
+    assert got["target"].iloc[0] == pytest.approx(left)
+    drawn = set(got[got["copies"] > 0]["doc_id"])
+    assert took <= drawn and len(drawn - took) <= 1
+    assert abs(got["taken"].sum() - left) <= gap
+
+
 # 4
 def brute_components(texts):
     sets, root = {i: shingles(t) for i, t in texts}, {i: i for i, _ in texts}
