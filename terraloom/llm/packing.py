@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from terraloom.llm.common import store, tune
-from terraloom.llm.tokens import Encoder
+from terraloom.llm.tokens import Encoder, gathered
 
 CAPACITY = 1024
 SLICE = 100_000  #: pieces that one (length, slice) holds, about
@@ -52,9 +52,9 @@ def pieces(docs: DataFrame, vocabulary: str, end: int = 2, capacity: int = CAPAC
 
     def run(batches):
         encoder = Encoder.of(vocabulary)
-        for batch in batches:
+        for batch in gathered(batches, 1):
             rows = []
-            for doc, raw in zip(batch.column(0).to_pylist(), encoder.ids(batch.column(1).to_pylist())):
+            for doc, raw in zip(batch.column(0).to_pylist(), encoder.ids(batch.column(1))):
                 raw += last
                 for k, (start, n) in enumerate(cuts(len(raw) // 4, capacity)):
                     ids = raw[4 * start : 4 * (start + n)]

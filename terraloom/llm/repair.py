@@ -3,7 +3,8 @@
 ``write_shards`` encodes documents in ascending doc_id order, appends the end
 id to each and packs runs of documents into shards. A shard's ids are
 compressed by Re-Pair: in each round the most frequent pairs of symbols are
-replaced by new nonterminals. The file holds the rules, every nonterminal's
+replaced by new nonterminals, until no pair is left that occurs ``LEAST``
+times. The file holds the rules, every nonterminal's
 expansion length, the symbols, and where each document's symbols and ids
 begin, so a document or a range of ids is decoded without the rest. No rule
 crosses a document's end.
@@ -28,72 +29,70 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from terraloom.llm.common import store, tune
-from terraloom.llm.tokens import Encoder
+from terraloom.llm.tokens import Encoder, gathered
 
 SHARD = 1 << 20  #: ids after which a shard is closed
-ROUNDS = 3
-RULES = 2048  #: at most so many new rules a round
+RULES = 1 << 15  #: at most so many new rules a round; the rest waits for the next
 LEAST = 8  #: a pair must occur so often to be replaced
 MAGIC = b"TLRP1\0\0\0"
 
 
-def _frequent(a: np.ndarray, b: np.ndarray, usable: np.ndarray, rules: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent pairs, most frequent first: keys a << 32 | b, and the positions' rank or -1.
+def _frequent(a: np.ndarray, b: np.ndarray, last: np.ndarray, rules: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The most frequent pairs, most frequent first, as (n, 2); the positions that hold one, and which.
 
     Pairs are counted by hashed slot; a frequent slot stands for one of its
     pairs, whose own count then decides. A pair hidden by another in its slot
     waits for a later round.
     """
     slots = 1 << 18
-    key = a << np.uint64(32) | b
-    slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int32)
-    rank = np.full(len(a), -1, np.int32)
-    counts = np.bincount(slot, usable, slots)
-    bar = max(least, float(np.partition(counts, slots - rules)[slots - rules])) if rules < slots else least
-    at = np.flatnonzero((counts >= bar)[slot] & usable)
-    if not len(at):
-        return np.empty(0, np.uint64), rank
-    mine, keys = slot[at], key[at]
-    stands = np.zeros(slots, np.uint64)
-    stands[mine[::-1]] = keys[::-1]
-    same = stands[mine] == keys
-    n = np.bincount(mine[same], minlength=slots)
-    order = np.argsort(-n, kind="stable")[:rules]
-    order = order[n[order] >= least]
-    place = np.full(slots, -1, np.int32)
+    slot = ((a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(14)).astype(np.intp)
+    slot[last] = slots  # nothing is joined to what ends a document
+    counts = np.bincount(slot, minlength=slots + 1)
+    counts[slots] = 0
+    often = counts >= least
+    if int(often.sum()) > rules:
+        often = counts >= max(least, int(np.partition(counts, slots + 1 - rules)[slots + 1 - rules]))
+    at = np.flatnonzero(often[slot])
+    mine, key = slot[at], a[at].astype(np.uint64) << np.uint64(32) | b[at]
+    stands = np.zeros(slots + 1, np.uint64)
+    stands[mine[::-1]] = key[::-1]
+    same = stands[mine] == key
+    at, mine = at[same], mine[same]
+    n = np.bincount(mine, minlength=slots + 1)
+    order = np.flatnonzero(n >= least)
+    order = order[np.argsort(-n[order], kind="stable")][:rules]
+    place = np.full(slots + 1, -1, np.int32)
     place[order] = np.arange(len(order), dtype=np.int32)
-    rank[at[same]] = place[mine[same]]
-    return stands[order], rank
+    rank = place[mine]
+    pairs = np.stack([stands[order] >> np.uint64(32), stands[order] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
+    return pairs, at[rank >= 0], rank[rank >= 0]
 
 
-def compress(ids: np.ndarray, end: int, rounds: int = ROUNDS, rules: int = RULES, least: int = LEAST) -> tuple[np.ndarray, list[np.ndarray], int]:
-    """(symbols, rules of each round as (n, 2) arrays, number of terminals)."""
+def compress(ids: np.ndarray, end: int, rules: int = RULES, least: int = LEAST) -> tuple[np.ndarray, list[np.ndarray], int]:
+    """(symbols, rules of each round as (n, 2) arrays, number of terminals), when no pair is left that occurs ``least`` times."""
     terminals = int(ids.max(initial=end)) + 1
-    seq = ids.astype(np.uint64)
+    seq = ids.astype(np.uint32)
     ends = np.zeros(terminals, bool)
     ends[end] = True
-    made, nxt = [], terminals
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        a, b = seq[:-1], seq[1:]
-        keys, rank = _frequent(a, b, ~ends[a.astype(np.int64)], rules, least)
-        if not len(keys):
+    made: list[np.ndarray] = []
+    nxt = terminals
+    while len(seq) > 1:
+        pairs, at, rank = _frequent(seq[:-1], seq[1:], np.flatnonzero(ends[seq[:-1]]), rules, least)
+        if not len(pairs):
             break
         # Matches that overlap: of each run of adjacent matches every second is taken, from the left.
-        hit = rank >= 0
-        start = hit & ~np.concatenate(([False], hit[:-1]))
-        first = np.maximum.accumulate(np.where(start, np.arange(len(hit)), 0))
-        take = np.flatnonzero(hit & ((np.arange(len(hit)) - first) % 2 == 0))
-        seq[take] = rank[take].astype(np.uint64) + np.uint64(nxt)
+        start = np.diff(at, prepend=-2) > 1
+        first = np.maximum.accumulate(np.where(start, at, 0))
+        take = (at - first) % 2 == 0
+        at, rank = at[take], rank[take]
+        seq[at] = rank.astype(np.uint32) + np.uint32(nxt)
         keep = np.ones(len(seq), bool)
-        keep[take + 1] = False
+        keep[at + 1] = False
         seq = seq[keep]
-        pairs = np.stack([keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
         made.append(pairs)
-        ends = np.concatenate([ends, ends[pairs[:, 1].astype(np.int64)]])
-        nxt += len(keys)
-    return seq.astype(np.uint32), made, terminals
+        ends = np.concatenate([ends, ends[pairs[:, 1]]])
+        nxt += len(pairs)
+    return seq, made, terminals
 
 
 def lengths_of(made: list[np.ndarray], terminals: int) -> np.ndarray:
@@ -189,9 +188,10 @@ def write_shards(docs: DataFrame, vocabulary: str, end: int = 1, shard: int = SH
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "shard": pa.array([number], pa.int32()), "n_docs": [len(names)], "n_tokens": [full], "n_symbols": [Shard(blob).seq.size], "blob": pa.array([blob], pa.binary())})
 
         last = np.array([end], np.uint32)
-        for batch in batches:
-            for doc, raw in zip(batch.column(0).to_pylist(), encoder.ids(batch.column(1).to_pylist())):
-                ids = np.concatenate([np.frombuffer(raw, "<u4"), last])
+        for batch in gathered(batches, 1):
+            flat, at = encoder.flat(batch.column(1))
+            for doc, a, b in zip(batch.column(0).to_pylist(), at.tolist(), at[1:].tolist()):
+                ids = np.concatenate([flat[a:b], last])
                 if parts and full + len(ids) > shard:
                     yield close()
                     names, parts, full, number = [], [], 0, number + 1

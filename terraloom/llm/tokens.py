@@ -1,24 +1,31 @@
 """Token ids of whole texts by the tokenizers library, with a cache of pieces.
 
 Both kinds of vocabulary used here split a text before they merge, and no
-merge crosses that split. So a text is cut at single spaces, each distinct
-piece is encoded once by the library, and the pieces' ids are joined. Texts
-whose spacing or characters could make the two cuts differ (white space in a
-row, odd white space, control or combining characters, a special token's
-string) go to the library whole.
+merge crosses that split. So a batch of texts is cut at single spaces and line
+ends in Arrow, its distinct pieces are looked up or encoded once by the
+library, and their ids are gathered. Words of letters alone go to the library
+many to a text, as their tokens show where each begins (or ends); if they
+don't, one by one. Texts whose spacing or characters could make the two cuts
+differ (white space in a row, odd white space, control or combining
+characters, a special token's string) go to the library whole.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Odd white space, control, combining and joining characters, and starts of special tokens.
-_ODD = re.compile("[\x00-\x09\x0b-\x1f\x7f-\xa0̀-ͯᄀ-ᇿ ᠎ -‏ -  -⁤　゙゚﻿]|  |\n\n| \n|\n |<\\|")
+_ODD = "[\x00-\x09\x0b-\x1f\x7f-\xa0̀-ͯᄀ-ᇿ ᠎ -‏ -  -⁤　゙゚﻿]|  |\n\n| \n|\n |<\\||\\A[ \n]|[ \n]\\z"
 #: Marks that may follow a word; none starts a contraction.
 _MARKS = ".,;:!?%*&$#|"
-_MOST = 1_200_000  #: pieces a worker keeps
+_MOST = 1_000_000  #: pieces a worker keeps
+_MANY = 512  #: words in a text given to the library
+#: How a piece that doesn't follow a space begins.
+_FIRST, _LINE = "\x01", "\n"
 
 
 def vocabulary_path(name: str) -> str:
@@ -27,8 +34,21 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in batches of about ``most`` bytes of one column: words repeat less often from batch to batch."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(column).nbytes
+        if size >= most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 class Encoder:
-    """``ids(texts)``: little-endian unsigned 32-bit ids of each text, as bytes."""
+    """``flat(texts)``: the ids of all texts in a row, and where each text's begin."""
 
     _made: dict[str, "Encoder"] = {}
 
@@ -38,11 +58,17 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        #: Whether white space is dropped; else a space belongs to the word after it.
+        self.dropped = self.tokenizer.normalizer is not None
         #: Pieces as they stand after a space; where white space is dropped, as they stand anywhere.
         self.cache: dict[str, bytes] = {}
-        self.space = "" if self.tokenizer.normalizer is not None else " "
         #: Runs of marks as they stand after a letter.
         self.marks: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        #: Tokens that end a word, or begin one after a space.
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, at in vocabulary.items():
+            self.edge[at] = token.endswith("</w>") if self.dropped else token.startswith("\u0120")
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -53,49 +79,82 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def words(self, words: list[str]) -> list[bytes]:
+        """The ids of words of letters, each as it stands after a space."""
+        out: list[bytes] = []
+        space = "" if self.dropped else " "
+        groups = [words[i : i + _MANY] for i in range(0, len(words), _MANY)]
+        for group, got in zip(groups, self.tokenizer.encode_batch_fast([space + " ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(got.ids, "<u4")
+            edge = np.flatnonzero(self.edge[ids])
+            if len(edge) != len(group):
+                out += self.whole([space + w for w in group])
+                continue
+            cut = np.append(edge, len(ids)) if space else np.insert(edge + 1, 0, 0)
+            raw, cut = ids.tobytes(), (cut * 4).tolist()
+            out += [raw[a:b] for a, b in zip(cut, cut[1:])]
+        return out
+
     def learn(self, new: list[str]) -> None:
         """Put pieces into the cache. A word and the marks after it never merge, so both are looked up apart."""
-        cache, marks, space = self.cache, self.marks, self.space
-        parted, bare, tails = [], set(), set()
+        cache, marks = self.cache, self.marks
+        parted, bare, tails, others = [], set(), set(), []
         for p in new:
             word = p.rstrip(_MARKS)
-            if word != p and word.isalpha():
+            if not word.isalpha():
+                others.append(p)
+                continue
+            if word is not p and len(word) < len(p):
                 tail = p[len(word) :]
                 parted.append((p, word, tail))
-                if word not in cache:
-                    bare.add(word)
                 if tail not in marks:
                     tails.add(tail)
-            else:
-                bare.add(p)
+            if word not in cache:
+                bare.add(word)
         some = list(bare)
-        for i in range(0, len(some), 50_000):
-            part = some[i : i + 50_000]
-            cache.update(zip(part, self.whole([space + p for p in part] if space else part)))
+        cache.update(zip(some, self.words(some)))
+        space = "" if self.dropped else " "
+        cache.update(zip(others, self.whole([p[1:] if p[0] == _FIRST else p if p[0] == _LINE else space + p for p in others])))
         if tails:
             marks.update(zip(tails, self.whole(list(tails))))
         cache.update([(p, cache[word] + marks[tail]) for p, word, tail in parted])
 
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        cache, space = self.cache, self.space
-        if len(cache) > _MOST:
-            cache.clear()
+    def flat(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids (unsigned 32 bits) of all texts, and the place of each text's first; null texts have none."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        if len(self.cache) > _MOST:
+            self.cache.clear()
             self.marks.clear()
-        cuts: list[list[str] | None] = []
-        seen: set[str] = set()
-        for text in texts:
-            if not text or _ODD.search(text) or text[0] in " \n" or text[-1] in " \n":
-                cuts.append(None)
-                continue
-            cuts.append(pieces := text.split(" "))
-            seen.update(pieces)
-        self.learn([p for p in seen if p not in cache])
-        out = []
-        for text, pieces in zip(texts, cuts):
-            if pieces is None:
-                out.append(self.whole([text])[0] if text else b"")
-            elif space:
-                out.append(self.whole([pieces[0]])[0] + b"".join(map(cache.__getitem__, pieces[1:])))
-            else:
-                out.append(b"".join(map(cache.__getitem__, pieces)))
-        return out
+        odd = pc.match_substring_regex(texts, _ODD)
+        apart = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        alone = self.whole([texts[int(i)].as_py() for i in apart])
+        plain = pc.if_else(odd, "", texts)
+        if self.dropped:
+            plain = pc.replace_substring(plain, "\n", " ")
+        else:
+            plain = pc.binary_join_element_wise(_FIRST, pc.replace_substring(plain, "\n", " \n"), "")
+        cut = pc.split_pattern(plain, " ")
+        offsets = cut.offsets.to_numpy().astype(np.int64)
+        coded = cut.flatten().dictionary_encode()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        cache = self.cache
+        cache[""] = cache[_FIRST] = b""
+        self.learn([p for p in pieces if p not in cache])
+        found = pa.array(map(cache.__getitem__, pieces), pa.binary(), size=len(pieces))
+        begin = np.frombuffer(found.buffers()[1], "<i4", len(found) + 1) // 4
+        known = np.frombuffer(found.buffers()[2] or b"", "<u4", begin[-1])
+        lists, size = pa.ListArray.from_arrays(pa.array(begin), pa.array(known)), np.diff(begin)
+        index = coded.indices.to_numpy()
+        upto = np.insert(np.cumsum(size[index]), 0, 0)
+        ids, at = lists.take(coded.indices).flatten().to_numpy(), upto[offsets - offsets[0]]
+        for i, raw in zip(apart[::-1], alone[::-1]):
+            own = np.frombuffer(raw, "<u4")
+            ids = np.concatenate([ids[: at[i]], own, ids[at[i] :]])
+            at[i + 1 :] += len(own)
+        return ids, at
+
+    def ids(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text, as bytes."""
+        ids, at = self.flat(texts)
+        raw, at = ids.astype("<u4", copy=False).tobytes(), (at * 4).tolist()
+        return [raw[a:b] for a, b in zip(at, at[1:])]
