@@ -1,30 +1,34 @@
 """HTML extraction by equivalence-class template deduction.
 
 Tokens of a page are its elements, each by its path of tags and classes, and
-its blocks of text outside articles, each by path and wording. Across the
-pages of a host every token has an occurrence vector: how often it stands on
-each page. Tokens with equal vectors form an equivalence class. A class is
-valid if it is frequent (``SHARE`` of the host's pages, ``PAGES`` at least)
-and nests: its tokens' paths lie below paths that valid classes hold, up to
-the root. The valid classes, nested, are the host's template; what stands
+its blocks of text, each by path and wording. Across the pages of a host every
+token has an occurrence vector: how often it stands on each page. Tokens of
+equal vectors form an equivalence class. A class is valid if it is frequent
+(``SHARE`` of the host's pages, ``PAGES`` at least) and holds an element; as
+an element stands on no page without those it lies in, valid classes nest up
+to the root. The valid classes, nested, are the host's template; what stands
 between template tokens are slots.
 
-``extract`` keeps the text of the slots that are content. Template wording
-outside articles is not. Slots below navigation, headers, footers, sidebars,
-forms, scripts, adverts, notices and comments (by element or class name), and
-those whose path is a template path made of links on all pages, aren't
-either. If a page has article or main elements with text, only they count.
-
-Occurrence vectors are never built: a token's vector is known by the exclusive
-or of hashes of (page, count), which Spark aggregates with map-side combine.
+Content slots are found on the template: from the root, the walk goes down
+into the element that stands once a page and holds most of the text that
+isn't links, as long as no heading stays behind. The element it ends at is the
+host's content. Left out of it are: wording of the template, elements made of
+links, and elements that by name are comments, adverts or the like, unless
+they hold most of the text. Elements that by their tag never hold content
+(scripts, menus, forms and so on) count nowhere. A page that its host's
+template says nothing about is its own template.
+
+Occurrence vectors are never built: a token's vector is known by two sums of
+halves of hashes of (page, count), which Spark adds up with map-side combine.
 So a host with a third of all pages isn't gathered anywhere; a host's template
 is no longer than its pages.
 
 Defined results: null or empty html gives an empty text; a host with fewer
-than ``PAGES`` pages has no template and falls back on element and class
-names; a null url is a host of its own; repeated rows count as pages each,
-with equal results; an empty table gives an empty result; extra columns are
-ignored.
+than ``PAGES`` pages has no template; a null url is a host of its own;
+repeated rows count as pages each, with equal results; wording is kept where
+dropping it would leave less than half of the content (pages that are copies
+of each other); what follows a tag that isn't closed before the page's end is
+markup; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ from __future__ import annotations
 import html as _html
 import re
 from collections import Counter
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 import xxhash
@@ -52,113 +57,165 @@ CLOSES_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDERS = frozenset("ul ol dl table tbody thead tfoot select div section article main body".split())
 APART = frozenset("head nav footer aside form button select menu dialog svg math object canvas audio video map".split()) | RAW
+CONTAINERS = frozenset("html body div section article main center table tbody tr td span".split())
+HEADINGS = frozenset("h1 h2 h3".split())
+APART_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+#: Words in the name of a container that tell against it, if it doesn't hold most of the text.
 APART_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert banner popup modal overlay newsletter subscribe subscription paywall share sharing social related recommended recommendations sidebar aside menu menubar nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments disqus respond replies login signup search searchform toolbar pager pagination widget skip tags tagcloud copyright legal".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent gdpr notice notices banner popup modal newsletter subscribe share sharing social related recommended sidebar menu navbar nav navigation breadcrumb breadcrumbs comment comments disqus respond replies login signup search pager pagination widget footer".split()
 )
-APART_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-MAIN = frozenset(("article", "main"))
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/>]|\Z)", re.I)
-_NAME = re.compile(r"[^a-z]+")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>=]+|=[^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)?))?""")
+_WORD = re.compile(r"[^a-z]+")
+_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
+
 
+@dataclass(slots=True)
+class Node:
+    """An element: its token, the element it lies in, what its tag and name say, and the text below it."""
 
+    token: int
+    up: int
+    tag: str
+    apart: bool  #: never content
+    named: bool  #: a container whose name tells against it
+    text: int = 0  #: characters below it that aren't links, but for those of named elements inside
+    linked: int = 0
+
+
+@dataclass(slots=True)
 class Piece:
-    """A run of text: its path, whether it stands apart, in an article, in a link; block number; wording."""
+    node: int
+    link: bool
+    block: int
+    text: str
 
-    __slots__ = ("path", "apart", "main", "link", "block", "text")
 
-    def __init__(self, path, apart, main, link, block, text):
-        self.path, self.apart, self.main, self.link, self.block, self.text = path, apart, main, link, block, text
+def _hash(*parts: str) -> int:
+    return xxhash.xxh3_64_intdigest("\x1f".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _names(attributes: str) -> tuple[str, bool]:
-    """Class and id as one name, and whether the element stands apart by them."""
-    if not attributes or attributes.isspace():
-        return "", False
-    found = {}
-    for name, a, b, c in _ATTRIBUTE.findall(attributes):
-        found.setdefault(name.lower(), (a or b or c).lower())
-    if "hidden" in found or found.get("aria-hidden") == "true":
-        return found.get("class", ""), True
-    words = {w for k in ("class", "id") for w in _NAME.split(found.get(k, "")) if w}
-    return found.get("class", ""), bool(words & APART_NAMES) or found.get("role") in APART_ROLES
+def _tag(page: str, at: int) -> tuple[dict[str, str], bool, int]:
+    """The attributes of a tag whose name ends at ``at``, whether it closes itself, and where it ends (-1: nowhere)."""
+    found: dict[str, str] = {}
+    n = len(page)
+    while True:
+        while at < n and page[at].isspace():
+            at += 1
+        if at >= n:
+            return found, False, -1
+        if page[at] == ">":
+            return found, page[at - 1] == "/", at + 1
+        m = _ATTRIBUTE.match(page, at)
+        if not m:  # a lone slash or equals sign
+            at += 1
+            continue
+        if m[2] is None and m[3] is None and m[4] is None and page[m.end() : m.end() + 1] in ('"', "'") and page[at : m.end()].rstrip().endswith("="):
+            return found, False, -1  # a quote that isn't closed
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+        at = m.end()
 
 
-def parse(page: str) -> tuple[list[Piece], Counter]:
-    """The pieces of text of a page, and how often each path is opened."""
-    pieces: list[Piece] = []
-    paths: Counter = Counter()
-    #: (tag, path, apart, main, link)
-    stack: list[tuple[str, str, bool, bool, bool]] = [("", "", False, False, False)]
+def parse(page: str) -> tuple[list[Node], list[Piece]]:
+    """The elements of a page, the root first, and its pieces of text, in time linear in its length."""
+    root = Node(0, -1, "", False, False)
+    nodes, pieces = [root], []
+    stack: list[tuple[int, bool]] = [(0, False)]  # element, in a link
+    open_tags: Counter = Counter()
     block, at, n = 0, 0, len(page)
 
     def text(raw: str) -> None:
         if raw and not raw.isspace():
-            _, path, apart, main, link = stack[-1]
-            pieces.append(Piece(path, apart, main, link, block, _html.unescape(raw)))
+            k, link = stack[-1]
+            pieces.append(Piece(k, link, block, _html.unescape(raw)))
+            if link:
+                nodes[k].linked += len(raw)
+            else:
+                nodes[k].text += len(raw)
         elif raw and pieces and pieces[-1].block == block:
             pieces[-1].text += " "
 
+    def close(down_to: int) -> None:
+        for k, _ in stack[down_to:]:
+            open_tags[nodes[k].tag] -= 1
+        del stack[down_to:]
+
+    def close_nearest(tags: set[str], stop: frozenset[str]) -> None:
+        if not any(open_tags[t] for t in tags):
+            return
+        for i in range(len(stack) - 1, 0, -1):
+            tag = nodes[stack[i][0]].tag
+            if tag in tags:
+                return close(i)
+            if tag in stop:
+                return None
+
     while at < n:
-        m = _TOKEN.search(page, at)
-        if not m:
+        lt = page.find("<", at)
+        while lt >= 0 and not (page[lt + 1 : lt + 2].isalpha() or page[lt + 1 : lt + 2] in ("/", "!", "?")):
+            lt = page.find("<", lt + 1)
+        if lt < 0:
             text(page[at:])
             break
-        text(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        text(page[at:lt])
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            at = n if end < 0 else end + 3
+            continue
+        closing = page[lt + 1] == "/"
+        m = _NAME.match(page, lt + 1 + closing)
+        if not m:  # a declaration, or what counts as a comment
+            end = page.find(">", lt)
+            at = n if end < 0 else end + 1
             continue
-        tag = m[2].lower()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+        tag = m[0].lower()
+        attributes, empty, at = _tag(page, m.end())
+        if at < 0:
+            break
+        if closing:
+            if open_tags[tag]:
+                for i in range(len(stack) - 1, 0, -1):
+                    if nodes[stack[i][0]].tag == tag:
+                        close(i)
+                        break
             block += tag in BLOCKS
             continue
-        if tag == "br" or tag == "hr":
-            if tag == "hr":
-                block += 1
-            elif pieces and pieces[-1].block == block:
+        if tag == "br":
+            if pieces and pieces[-1].block == block:
                 pieces[-1].text += " "
             continue
-        if tag in BLOCKS:
-            block += 1
+        block += tag in BLOCKS
         if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    del stack[k:]
-                    break
-                if stack[k][0] in HOLDERS:
-                    break
+            close_nearest({"p"}, HOLDERS)
         if tag in SIBLINGS:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in SIBLINGS[tag]:
-                    del stack[k:]
-                    break
-                if stack[k][0] in HOLDERS:
-                    break
-        _, up, apart, main, link = stack[-1]
-        name, named = _names(m[3])
-        path = f"{up}/{tag}" + (f".{name}" if name else "")
-        paths[path] += 1
-        if tag in VOID or m[3].endswith("/"):
-            continue
-        inner = (tag, path, apart or tag in APART or (named and tag not in ("html", "body")) or (tag == "header" and not main), main or tag in MAIN, link or tag == "a")
+            close_nearest(SIBLINGS[tag], HOLDERS)
+        up, link = stack[-1]
+        name = attributes.get("class", "").lower()
+        hidden = "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or attributes.get("role", "").lower() in APART_ROLES
+        header = tag == "header" and not any(open_tags[t] for t in ("article", "main"))
+        named = tag in CONTAINERS | {"ul", "ol", "header"} and not APART_NAMES.isdisjoint(_WORD.split(f"{name} {attributes.get('id', '').lower()}"))
+        nodes.append(Node(_hash(str(nodes[up].token), tag, name), up, tag, nodes[up].apart or tag in APART or hidden or header, named))
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
-            continue
-        stack.append(inner)
-    return pieces, paths
+            end = _ENDS[tag].search(page, at)
+            if not end:
+                break
+            at = page.find(">", end.end()) + 1 or n
+        elif tag not in VOID and not empty:
+            stack.append((len(nodes) - 1, link or tag == "a"))
+            open_tags[tag] += 1
+    for node in reversed(nodes[1:]):  # what lies below comes later
+        if not node.apart:
+            nodes[node.up].text += 0 if node.named else node.text
+            nodes[node.up].linked += 0 if node.named else node.linked
+    return nodes, pieces
 
 
 def _squeezed(text: str) -> str:
     return " ".join(text.split())
 
 
-def _blocks(pieces) -> list[list[Piece]]:
+def _blocks(pieces: list[Piece]) -> list[list[Piece]]:
     """Pieces by the block they stand in, in page order."""
     out: dict[int, list[Piece]] = {}
     for p in pieces:
@@ -166,10 +223,6 @@ def _blocks(pieces) -> list[list[Piece]]:
     return list(out.values())
 
 
-def _hash(*parts: str) -> int:
-    return xxhash.xxh3_64_intdigest("\x1f".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
-
-
 def host(url: str | None) -> str:
     if url is None:
         return ""
@@ -177,39 +230,114 @@ def host(url: str | None) -> str:
     return (m[1] if m else url).lower()
 
 
-def tokens(page: str | None) -> list[tuple[int, int, int, int, int, bool]]:
-    """(token, its parent, count, characters of text, of them in links, whether wording) of a page; the root is 0."""
-    pieces, paths = parse(page or "")
-    chars, linked = Counter(), Counter()
-    out = []
-    words: Counter = Counter()
-    for p in pieces:
-        k = len(p.text)
-        chars[p.path] += k
-        linked[p.path] += k * p.link
-    for block in _blocks(p for p in pieces if not p.main and not p.apart):
-        words[block[0].path, _squeezed("".join(p.text for p in block))] += 1
-    for path, n in paths.items():
-        up = path.rpartition("/")[0]
-        out.append((_hash(path), _hash(up) if up else 0, n, chars[path], linked[path], False))
-    out += [(_hash(path, "text", word), _hash(path), n, 0, 0, True) for (path, word), n in words.items()]
-    return [(0, 0, 1, 0, 0, False), *out]
-
-
-def extract(page: str | None, dropped: frozenset[int] | set[int] = frozenset()) -> str:
-    """The main text of a page; ``dropped`` holds its host's template wording and link paths."""
-    pieces, _ = parse(page or "")
-    kept = [p for p in pieces if not p.apart]
-    if any(p.main and not p.text.isspace() for p in kept):
-        kept = [p for p in kept if p.main]
-    elif dropped:
-        kept = [p for p in kept if _hash(p.path) not in dropped]
-    found = ((block[0], _squeezed("".join(p.text for p in block))) for block in _blocks(kept))
-    return "\n\n".join(b for first, b in found if b and (first.main or not dropped or _hash(first.path, "text", b) not in dropped))
+@dataclass(slots=True)
+class Token:
+    """An element or a wording across the pages of a host."""
+
+    token: int
+    up: int
+    tag: str  #: empty for wording
+    apart: bool
+    named: bool
+    n: int  #: on a page
+    text: int
+    linked: int
+
+
+def tokens(nodes: list[Node], pieces: list[Piece]) -> list[Token]:
+    """The tokens of a page; the root is 0."""
+    out: dict[int, Token] = {}
+    for node in nodes:
+        t = out.setdefault(node.token, Token(node.token, nodes[node.up].token if node.up >= 0 else 0, node.tag or "root", node.apart, node.named, 0, 0, 0))
+        t.n, t.text, t.linked = t.n + 1, t.text + node.text, t.linked + node.linked
+    for block in _blocks([p for p in pieces if not nodes[p.node].apart]):
+        up = nodes[block[0].node].token
+        t = out.setdefault(k := _hash(str(up), "text", _squeezed("".join(p.text for p in block))), Token(k, up, "", False, False, 0, 0, 0))
+        t.n += 1
+    return list(out.values())
+
+
+@dataclass(slots=True)
+class Template:
+    """What a host's valid classes say: where content lies, what in it is none, and which wording is the host's."""
+
+    content: int = 0
+    dropped: set[int] = field(default_factory=set)
+    wording: set[int] = field(default_factory=set)
+
+
+def deduce(held: list[tuple[int, int, str, bool, bool, bool, int, int]], wording: set[int]) -> Template:
+    """The template of (token, up, tag, apart, named, once a page, text, linked) of the elements in valid classes."""
+    by = {h[0]: h for h in held}
+    kids: dict[int, list[int]] = {}
+    worded: set[int] = set()  # elements with wording of the template
+    for token, up, tag, apart, *_ in held:
+        if tag == "" and token in wording:
+            worded.add(up)
+        elif token and not apart and tag:
+            kids.setdefault(up, []).append(token)
+    if 0 not in by:
+        return Template()
+
+    def headed(token: int, seen: list[int] | None = None) -> bool:
+        stack = [token]
+        while stack:
+            k = stack.pop()
+            if by[k][2] in HEADINGS and k not in worded and by[k][6]:
+                return True
+            stack += [c for c in kids.get(k, []) if not by[c][4]]
+        return False
+
+    at = 0
+    while True:
+        below = [k for k in kids.get(at, []) if by[k][5] and by[k][2] in CONTAINERS]
+        own = [k for k in below if not by[k][4]]
+        mass = lambda k: by[k][6] * (2 if by[k][2] in ("article", "main") else 1)  # noqa: E731  those tags are a hint, no more
+        best = max(own, key=lambda k: (mass(k), k), default=None)
+        if best is None or not by[best][6]:  # only named ones hold text
+            best = max(below, key=lambda k: (mass(k), k), default=None) if not by[at][6] else None
+        if best is None or not by[best][6] or 2 * mass(best) < by[at][6]:
+            break
+        if any(k != best and headed(k) for k in kids.get(at, []) if not by[k][4]):
+            break
+        at = best
+    out = Template(at, wording=wording)
+    for token, _, tag, apart, named, _, text, linked in held:
+        if tag and token != at and not apart and ((named and 2 * text < by[at][6]) or (linked > text and tag in CONTAINERS | {"ul", "ol", "dl", "p"} and 2 * linked < by[at][6] + by[at][7])):
+            out.dropped.add(token)
+    return out
+
+
+def own_template(nodes: list[Node], pieces: list[Piece]) -> Template:
+    """A page as its own template, wording apart."""
+    return deduce([(t.token, t.up, t.tag, t.apart, t.named, t.n == 1, t.text, t.linked) for t in tokens(nodes, []) if t.tag], set())
+
+
+def extract(page: str | None, template: Template | None = None) -> str:
+    """The main text of a page by its host's template, or by its own."""
+    nodes, pieces = parse(page or "")
+    if template is None or not any(n.token == template.content and n.text for n in nodes):
+        found = own_template(nodes, pieces)
+        template = Template(found.content, found.dropped, template.wording if template else set())
+    inside = [False] * len(nodes)
+    for i, node in enumerate(nodes):
+        if node.token == template.content:
+            inside[i] = True
+        elif node.up >= 0 and inside[node.up]:
+            # A named element that the template doesn't know, as it stands on few pages.
+            inside[i] = not (node.apart or node.token in template.dropped or (node.named and node.tag != "header" and 2 * node.text < nodes[0].text))
+    blocks = [(_hash(str(nodes[b[0].node].token), "text", w), w) for b in _blocks([p for p in pieces if inside[p.node]]) if (w := _squeezed("".join(p.text for p in b)))]
+    left = [w for k, w in blocks if k not in template.wording]
+    if 2 * sum(map(len, left)) < sum(len(w) for _, w in blocks):
+        left = [w for _, w in blocks]
+    return "\n\n".join(left)
+
+
+TOKENS = "host string, token long, up long, tag string, apart boolean, named boolean, n long, text long, linked long, mark long"
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host and dropped: the template tokens of each host that aren't content, for hosts that have any."""
+    """host and held, the tokens of its valid classes, for hosts that have a template."""
     tune(pages.sparkSession)
 
     def run(batches):
@@ -217,28 +345,32 @@ def templates(pages: DataFrame) -> DataFrame:
             rows = []
             for page_id, url, page in zip(*(c.to_pylist() for c in batch.columns)):
                 h, me = host(url), str(page_id)
-                rows += [(h, token, up, _hash(me, str(n)), n, chars, linked, word) for token, up, n, chars, linked, word in tokens(page)]
-            kinds = [pa.string()] + [pa.int64()] * 6 + [pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 8, kinds)], names=["host", "token", "up", "mark", "n", "chars", "linked", "wording"])
-
-    seen = pages.select("page_id", "url", "html").mapInArrow(run, "host string, token long, up long, mark long, n long, chars long, linked long, wording boolean")
-    per = seen.groupBy("host", "token").agg(F.first("up").alias("up"), F.bit_xor("mark").alias("vector"), F.count(F.lit(1)).alias("pages"), F.sum("n").alias("total"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.first("wording").alias("wording"))
+                rows += [(h, t.token, t.up, t.tag, t.apart, t.named, t.n, t.text, t.linked, _hash(me, str(t.n))) for t in tokens(*parse(page or ""))]
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_()] + [pa.int64()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 10, kinds)], names=[c.split()[0] for c in TOKENS.split(", ")])
+
+    seen = pages.select("page_id", "url", "html").mapInArrow(run, TOKENS)
+    low, high = F.col("mark").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("mark", 32)
+    # Sums, as marks of repeated rows would cancel under exclusive or; flags and counts are hashed types, so nothing is sorted.
+    per = seen.groupBy("host", "token").agg(
+        F.max("up").alias("up"), F.sum(low).alias("v1"), F.sum(high).alias("v2"), F.count(F.lit(1)).alias("pages"), F.sum("n").alias("total"),
+        F.max("apart").alias("apart"), F.max("named").alias("named"), F.sum("text").alias("text"), F.sum("linked").alias("linked"), F.max("tag").alias("tag"),
+    )
     per = store(per.where(F.col("pages") >= PAGES), "html-tokens")
     hosts = per.where(F.col("token") == 0).select("host", F.col("pages").alias("of"))
-    often = per.join(hosts, "host").where(F.col("pages") >= F.col("of") * SHARE).drop("of")
-    # An equivalence class: equal vectors. It is valid where every token hangs below a token of such a class.
-    held = often.select("host", F.col("token").alias("up"))
-    loose = often.where(F.col("token") != 0).join(held, ["host", "up"], "left_anti").select("host", "vector", "pages", "total").distinct()
-    valid = often.join(loose, ["host", "vector", "pages", "total"], "left_anti").where(F.col("token") != 0)
-    wording = valid.where("wording")
-    menus = valid.where((F.col("chars") > 0) & (F.col("linked") >= F.col("chars")))
-    return wording.unionByName(menus).groupBy("host").agg(F.collect_set("token").alias("dropped"))
+    often = per.join(hosts, "host").where(F.col("pages") >= F.col("of") * SHARE)
+    # An equivalence class: equal vectors. It is valid if an element is in it.
+    vector = ["host", "v1", "v2", "pages", "total"]
+    valid = often.where(F.col("tag") != "").select(*vector).distinct()
+    held = often.join(valid, vector, "left_semi")
+    once = F.col("total") == F.col("pages")
+    return held.groupBy("host").agg(F.collect_list(F.struct("token", "up", "tag", "apart", "named", once.alias("once"), "text", "linked")).alias("held"))
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of ``pages`` (page_id, url, html)."""
     tune(pages.sparkSession)
-    drops = store(templates(pages), "html-templates")  # stored, so Spark knows its size before it sends it round
+    known = store(templates(pages), "html-templates")  # stored, so Spark knows its size before it sends it round
 
     def hosts(batches):
         for batch in batches:
@@ -246,11 +378,20 @@ def main_texts(pages: DataFrame) -> DataFrame:
 
     kinds = {f.name: f.dataType.simpleString() for f in pages.select("page_id", "url", "html").schema.fields}
     rows = pages.select("page_id", "url", "html").mapInArrow(hosts, ", ".join(f"{k} {v}" for k, v in kinds.items()) + ", host string")
-    rows = rows.join(drops, "host", "left").select("page_id", "url", "html", "dropped")
+    rows = rows.join(known, "host", "left").select("page_id", "url", "html", "host", "held")
 
     def run(batches):
+        made: dict[str, Template | None] = {}
         for batch in batches:
-            texts = [extract(page, frozenset(d or ())) for page, d in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            texts = []
+            held = batch.column(4)
+            for i, (page, h) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                if h not in made:
+                    if len(made) > 10_000:
+                        made.clear()
+                    got = held[i].as_py()
+                    made[h] = deduce([tuple(t.values()) for t in got], {t["token"] for t in got if not t["tag"]}) if got else None
+                texts.append(extract(page, made[h]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
