@@ -3,15 +3,17 @@
 Largest inner products become smallest distances by one added coordinate
 that brings every vector to the norm of the longest (queries get none).
 ``CURVES`` times the vectors are projected to ``DIMS`` random orthonormal
-directions, shifted at random and put in the order of a Hilbert curve. The
-order is cut at its quantiles into blocks, range by range; a query looks into
-the block where its key falls and the blocks within half a window on either
-side. The best of every block are scored in double precision from the
-original vectors and merged over blocks and curves.
-
-A window is a share of the table (``WINDOW`` on average), not a number of
-rows: so recall doesn't fall as the table grows, and work per query grows
-with it. Blocks hold at most about ``BLOCK`` rows; a larger table has more.
+directions, shifted at random and put in the order of a Hilbert curve, by a
+range partitioning on (curve, key). Each partition runs through its order in
+blocks of a third of a window; the queries of a block meet that block and its
+two neighbours. The best of every window, by products of components rounded to
+8 bits, are merged over the curves and scored in double precision from the
+original vectors.
+
+Many curves with short windows find more for the same work than few with long
+ones. A window has ``SPAN * n ** GROWTH`` rows: as the table grows, a query
+meets more rows, but a falling share of them. Nothing but the random directions
+and the table's size is known beforehand: no bounds, no rows on the driver.
 
 Equal vectors collapse to one point that carries its ``k + 1`` smallest ids;
 no answer needs more of them, so a vector that fills a third of the table is
@@ -32,12 +34,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from terraloom.llm.common import store
 
-CURVES = 12
-DIMS = 4
-BITS = 10
-WINDOW = 0.15
-BLOCK = 4096
-LEAST = 256  #: rows below which a block isn't cut further
+CURVES = 64
+DIMS = 16
+BITS = 3
+SPAN, GROWTH = 0.1, 0.77
+HELD = 1 << 16  #: rows of a partition in memory at once
+SPARE = 12  #: candidates kept beyond k, as rounded products may swap ranks
 
 
 def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -73,7 +75,7 @@ class Curves:
         dims = min(dims, width + 1)
         self.longest, self.bits = longest, bits
         self.frames = [np.linalg.qr(rng.normal(size=(width + 1, dims)))[0] for _ in range(curves)]
-        self.shifts = [rng.uniform(0, 0.5, dims) for _ in range(curves)]
+        self.shifts = [rng.uniform(-0.5, 0.5, dims) for _ in range(curves)]
 
     def keys(self, vectors: np.ndarray, query: bool) -> list[np.ndarray]:
         norm = np.linalg.norm(vectors, axis=1)
@@ -81,9 +83,11 @@ class Curves:
         rest = np.zeros(len(unit)) if query else np.sqrt(np.maximum(0, 1 - (norm / self.longest) ** 2))
         full = np.column_stack([unit, rest])
         out = []
+        cells = 1 << self.bits
         for frame, shift in zip(self.frames, self.shifts):
-            grid = ((full @ frame + 1 + shift) / 2.5 * (1 << self.bits)).astype(np.int64)
-            out.append(hilbert_key(np.clip(grid, 0, (1 << self.bits) - 1), self.bits))
+            # Components of spread vectors have a deviation of 1 / sqrt(width); cells cover 2.5 of them on either side.
+            grid = ((full @ frame) * np.sqrt(full.shape[1]) / 5 + 0.5) * cells + shift
+            out.append(hilbert_key(np.clip(np.floor(grid).astype(np.int64), 0, cells - 1), self.bits))
         return out
 
 
@@ -111,7 +115,12 @@ def points(vectors: DataFrame, k: int, every: int) -> DataFrame:
     return out, asks
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, curves: int = CURVES, window: float = WINDOW) -> DataFrame:
+def window_rows(n: int, span: float = SPAN, growth: float = GROWTH) -> int:
+    """Rows of a window in a table of ``n``; a multiple of three."""
+    return 3 * max(1, round(span * n**growth / 3))
+
+
+def search(vectors: DataFrame, k: int = 20, every: int = 20, curves: int = CURVES, span: float = SPAN) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of every row whose vec_id ``every`` divides."""
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -123,54 +132,83 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, curves: int = CURVE
     width, n = widths["w"], widths["n"]
     found = found.where(F.size("embedding") == width)
     longest = found.agg(F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
-    order = Curves(width, longest, curves)
-
-    # Blocks: a window spans the own block and ``side`` more on either side.
-    coarse = max(1, min(round(3 / window), n // LEAST))
-    fine = max(1, -(-n // (coarse * BLOCK)))
-    blocks, side = coarse * fine, fine
-
-    def keyed(query: bool):
-        def run(batches):
-            for batch in batches:
-                m = _matrix(batch.column(1), width)
-                if not len(m):
-                    continue
-                for c, key in enumerate(order.keys(m, query)):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), c, np.int32)), pa.array(key), batch.column(0), batch.column(1)], names=["curve", "key", "point", "embedding"])
-
-        return run
-
-    kind = "curve int, key long, point long, embedding array<double>"
-    data = found.select("point", "embedding").mapInArrow(keyed(False), kind)
-    asked = found.where("asks").select("point", "embedding").mapInArrow(keyed(True), kind)
-    shares = [i / blocks for i in range(1, blocks)]
-    bounds = {r["curve"]: r["b"] for r in data.groupBy("curve").agg(F.percentile_approx("key", shares, 10_000).alias("b")).collect()} if shares else {}
-    cuts = F.create_map(*[x for c in range(curves) for x in (F.lit(c), F.array(*[F.lit(int(b)) for b in bounds.get(c) or []]).cast("array<bigint>"))])
-    block = F.size(F.filter(cuts[F.col("curve")], lambda b: b < F.col("key")))
-    data = data.select("curve", block.alias("block"), F.lit(False).alias("asks"), "point", "embedding")
-    near = F.explode(F.sequence(F.greatest(F.lit(0), block - side), F.least(F.lit(blocks - 1), block + side)))
-    asked = asked.select("curve", near.alias("block"), F.lit(True).alias("asks"), "point", "embedding")
-
-    def best(table: pa.Table) -> pa.Table:
-        who = table.column("asks").to_numpy()
-        ids, m = table.column("point").to_numpy(), _matrix(table.column("embedding"), width)
-        q, c, qi, ci = m[who], m[~who], ids[who], ids[~who]
-        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
-        for a in range(0, len(q) if len(c) else 0, 512):
-            s = q[a : a + 512] @ c.T
-            few = min(k + 5, len(c))
-            top = np.argpartition(-s, few - 1, axis=1)[:, :few]
-            at = np.repeat(np.arange(a, a + len(s)), few)
-            # Scored again pair by pair, so that a pair has one score whatever block it met in.
-            out.append((qi[at], ci[top.ravel()], (q[at] * c[top.ravel()]).sum(1)))
-        return pa.table({"query": np.concatenate([x[0] for x in out]), "point": np.concatenate([x[1] for x in out]), "score": np.concatenate([x[2] for x in out])})
-
-    met = data.union(asked).groupBy("curve", "block").applyInArrow(best, "query long, point long, score double")
-    met = met.groupBy("query", "point").agg(F.max("score").alias("score"))
-    nth = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "point"))
-    met = met.withColumn("_nth", nth).where(F.col("_nth") <= k + 1).drop("_nth")
-    rows = met.join(found.select("point", "ids"), "point").select("query", F.explode("ids").alias("vec_id"), "score")
+    order, keep = Curves(width, longest, curves), k + SPARE
+    block = max(window_rows(n, span) // 3, -(-(k + 1) // 3))  # a window shows k candidates at least, if there are as many
+
+    def keyed(batches):
+        for batch in batches:
+            m = _matrix(batch.column(1), width)
+            if not len(m):
+                continue
+            asked = batch.column(2).to_numpy(zero_copy_only=False)
+            most = np.abs(m).max(1, keepdims=True)
+            codes = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width + 8), len(m), [None, pa.py_buffer(np.hstack([np.rint(m / most * 127).astype(np.int8).view(np.uint8), most.view(np.uint8).reshape(len(m), 8)]).tobytes())]).cast(pa.binary())
+            for c, (key, as_query) in enumerate(zip(order.keys(m, False), order.keys(m[asked], True) if asked.any() else [None] * curves)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), c, np.int32)), pa.array(key), batch.column(0), pa.array(np.zeros(len(m), bool)), codes], names=["curve", "key", "point", "asks", "code"])
+                if as_query is not None:
+                    who = pa.array(np.flatnonzero(asked))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), c, np.int32)), pa.array(as_query), batch.column(0).take(who), pa.array(np.ones(len(who), bool)), codes.take(who)], names=["curve", "key", "point", "asks", "code"])
+
+    def windows(batches):
+        kinds = ["query", "point", "near"]
+
+        def unpacked(t: pa.Table) -> list[np.ndarray]:
+            raw = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(len(t), width + 8)
+            m = raw[:, :width].view(np.int8).astype(np.float32) * (np.ascontiguousarray(raw[:, width:]).view(np.float64) / 127).astype(np.float32)
+            return [m, t.column("point").to_numpy(), t.column("asks").to_numpy(), t.column("curve").to_numpy()]
+
+        held: list[np.ndarray] | None = None
+        done = 0
+
+        def run(stop: int):
+            """The queries of held rows up to ``stop``."""
+            m, ids, who, _ = held
+            # Queries stand among the rows only to find their place; they are no candidates.
+            rows = np.flatnonzero(~who)
+            place = np.searchsorted(rows, np.flatnonzero(who[done:stop]) + done)
+            queries = np.flatnonzero(who[done:stop]) + done
+            data, names = m[rows], ids[rows]
+            if not len(queries) or not len(rows):
+                return None
+            out = []
+            cut = np.minimum(place, len(rows) - 1) // block
+            for b in np.unique(cut):
+                mine = queries[cut == b]
+                lo = int(max(0, min((b - 1) * block, len(rows) - 3 * block)))
+                near = slice(lo, lo + 3 * block)
+                s = m[mine] @ data[near].T
+                few = min(keep, s.shape[1])
+                top = np.argpartition(-s, few - 1, axis=1)[:, :few]
+                out.append((np.repeat(ids[mine], few), names[near][top.ravel()], np.take_along_axis(s, top, 1).ravel()))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in out])) for i in range(3)], names=kinds)
+
+        for batch in batches:
+            fresh = unpacked(pa.Table.from_batches([batch]))
+            for c in np.unique(fresh[3]):
+                mine = [x[fresh[3] == c] for x in fresh]
+                if held is not None and held[3][0] != c:
+                    if (got := run(len(held[3]))) is not None:
+                        yield got
+                    held, done = None, 0
+                held = mine if held is None else [np.concatenate([x, y]) for x, y in zip(held, mine)]
+                if len(held[3]) >= HELD + 8 * block:
+                    stop = len(held[3]) - 4 * block
+                    if (got := run(stop)) is not None:
+                        yield got
+                    drop = max(0, stop - 4 * block)
+                    held, done = [x[drop:] for x in held], stop - drop
+        if held is not None and (got := run(len(held[3]))) is not None:
+            yield got
+
+    rows = found.select("point", "embedding", "asks").mapInArrow(keyed, "curve int, key long, point long, asks boolean, code binary")
+    met = rows.repartitionByRange("curve", "key").sortWithinPartitions("curve", "key", "point").mapInArrow(windows, "query long, point long, near float")
+    met = met.groupBy("query", "point").agg(F.max("near").alias("near"))
+    nth = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("near"), "point"))
+    met = met.withColumn("_nth", nth).where(F.col("_nth") <= keep).select("query", "point")
+    # Scored from the original vectors, so that a pair has one score whatever window it met in.
+    whole = found.select("point", "ids", "embedding")
+    met = met.join(whole, "point").join(whole.select(F.col("point").alias("query"), F.col("embedding").alias("_q")), "query")
+    rows = met.select("query", F.explode("ids").alias("vec_id"), F.aggregate(F.zip_with("embedding", "_q", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x).alias("score"))
     mine = asks.join(found.select("p1", "p2", F.col("point").alias("query")), ["p1", "p2"]).select("query", F.col("vec_id").alias("query_id"))
     rows = rows.join(mine, "query").where(F.col("vec_id") != F.col("query_id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
