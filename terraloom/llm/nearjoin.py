@@ -8,18 +8,21 @@ with equal sets collapse to one point first. The join then works in rounds:
    ``floor(radius * n) + 1`` shingles of either in that order, so a shingle
    that stands there in two sets or more is a cell; sets that share no cell
    are farther apart than ``radius`` and need no distance.
-2. Pivots. In each open cell the most central point becomes the pivot and
-   gets its exact distance to every point of the cell that could be near.
-3. Voronoi regions. A point within ``radius`` of a pivot belongs to the
-   region of the nearest one. By the triangle inequality, two points of a
-   region whose distances to the pivot sum to ``radius`` or less are linked,
-   and all points of a region are connected through it.
-4. Windows. A cell whose points all lie in one region is done. Otherwise
-   its points outside that region, and those inside which the triangle
-   inequality can't rule out (``d(y, p) >= d(x, p) - radius`` for a point x
-   outside), are the boundary that is copied into the next round, and the
-   cells join recursively. A cell of ``LEAF`` points or fewer is joined
-   outright.
+2. Pivots. Each open cell gets its most central point and, drawn by hash,
+   about ``PIVOTS`` more, four times as many each round. A pivot gets its exact
+   distance to every point of the cell that could be near, and a lower bound
+   (from sizes and places) to the others.
+3. Voronoi regions. A point goes to the region of its nearest pivot, if it is
+   within twice the radius; points far from all pivots stay together.
+4. Windows. By the triangle inequality a point outside a region can be linked
+   with one inside only if its distance to the pivot is at most the region's
+   own radius plus ``radius``: such points are copied into the region.
+5. Recursion. Points within ``radius`` of the pivot are connected through it.
+   They go on only as far as a point beyond that radius may reach them. A
+   region without such points is done, all others are the next round's cells,
+   without their pivots. As pivots multiply, a cell that doesn't split ends all
+   the same, in about as many rounds as its size has digits to the base 4,
+   because all its points become pivots.
 
 No group of near copies is expanded into its pairs: a group around a pivot
 closes after one round. Connected components over the links come from
@@ -49,12 +52,11 @@ WORDS = 5
 #: Similarity as a fraction: linked if DEN * both >= NUM * either.
 NUM, DEN = 75, 100
 RANGES = 64
-LEAF = 24
+PIVOTS = 4  #: drawn in a cell in the first round, beside the central one
 UNIT_DOCS = 1 << 14  #: documents whose shingles a task sorts at once
 UNIT_SHINGLES = 1 << 21
-COMMON = 128  #: a code in so many documents of a unit travels without them
 BITS = 1 << 23  #: of the filter that spares texts no pair needs
-ROUNDS = 8
+COMMON = 128  #: a code in so many documents of a unit travels without them
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SPACE = np.zeros(256, bool)
@@ -290,28 +292,35 @@ def cells(docs: DataFrame, shingles: int, num: int = NUM, den: int = DEN, words:
     return back.groupBy("unit").applyInArrow(firsts, "cell long, id long, n long, at long").groupBy("cell", "id").agg(F.max("n").alias("n"), F.min("at").alias("at"))
 
 
-def distances(docs: DataFrame, pairs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``pairs`` (a, b) with na, nb and both, the size of the sets' intersection; the larger group is on ``a``."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+def set_table(docs: DataFrame, ids: DataFrame, words: int = WORDS) -> DataFrame:
+    """(id, codes): the sorted shingle codes, as bytes, of the documents in ``ids`` (id), stored."""
     bits = ids.select(F.pmod(F.xxhash64("id"), F.lit(BITS)).alias("spot"))
     found = bits.groupBy(F.expr("spot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(spot % 64 as int)))").alias("bits"))
     table = np.zeros(BITS // 64, np.int64)
     for word, got in found.collect():  # at most BITS / 64 rows
         table[word] = got
     asked = docs.sparkSession.sparkContext.broadcast(table)
+    tune(docs.sparkSession)
 
-    def held(batches):
+    def coded(batches):
         for batch in batches:
             spot = batch.column(2).to_numpy(zero_copy_only=False)
-            some = np.flatnonzero(asked.value[spot >> 6] >> (spot & 63) & 1)
-            ids, texts = batch.column(0), batch.column(1)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i].as_py() for i in some], pa.int64()), pa.array([shingle_codes(texts[i].as_py(), words).tobytes() for i in some], pa.binary())], names=["id", "codes"])
+            some = pa.array(np.flatnonzero(asked.value[spot >> 6] >> (spot & 63) & 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(some), pa.array([shingle_codes(t, words).tobytes() for t in batch.column(1).take(some).to_pylist()], pa.binary())], names=["id", "codes"])
+
+    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).alias("spot"))
+    rows = rows.mapInArrow(coded, "id long, codes binary")
+    return store(rows.join(ids.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "near-sets")
+
+
+def distances(known: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with na, nb and both, the size of the sets' intersection.
 
-    known = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).alias("spot"))
-    known = known.mapInArrow(held, "id long, codes binary")
-    known = store(known.join(ids.distinct(), "id", "left_semi").groupBy("id").agg(F.first("codes").alias("codes")), "near-sets")
+    The larger group is on ``a``: it meets its codes while rows are short, and
+    each pair then goes to its own ``b``.
+    """
     side = lambda x: known.select(F.col("id").alias(x), F.col("codes").alias(f"codes_{x}"))
-    rows = pairs.join(side("b"), "b").join(side("a"), "a")
+    rows = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def meet(batches):
         for batch in batches:
@@ -334,56 +343,67 @@ def merged(cut: DataFrame) -> DataFrame:
     return cut.join(per, "cell").groupBy(F.col("_cell").alias("cell"), "id").agg(F.max("n").alias("n"), F.min("at").alias("at"))
 
 
-def links(docs: DataFrame, cut: DataFrame, num: int = NUM, den: int = DEN, words: int = WORDS) -> DataFrame:
+def links(docs: DataFrame, cut: DataFrame, num: int = NUM, den: int = DEN, words: int = WORDS, trace: list[dict] | None = None) -> DataFrame:
     """Edges (a, b) that connect exactly what is linked, by rounds of pivots over ``cut`` (cell, id, n, at).
 
-    The pivot of a cell is its most central point: the one with the fewest
-    shingles of its own before the cell's. A pair whose shingles from the
-    cell's on can't make up the overlap it needs is no pair (the first shingle
-    that two sets share bounds their overlap).
+    The central point of a cell is the one with the fewest shingles of its own
+    before the cell's. A pair whose shingles from the cell's on can't make up
+    the overlap it needs is no pair (the first shingle that two sets share
+    bounds their overlap). ``trace`` gets what each round did.
     """
     radius = 1 - num / den
+    slack = 1e-9
     similar = (F.col("na") + F.col("nb")) * num <= F.col("both") * (num + den)
     apart = 1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
+    n, at, pn, pat = F.col("n"), F.col("at"), F.col("pn"), F.col("pat")
+    most = F.least(n - at, pn - pat)  # of common shingles, if the cell's is the first
+    possible = (F.least(n, pn) * den >= F.greatest(n, pn) * num) & (most * (num + den) >= (n + pn) * num)
+    least_apart = F.greatest(F.lit(radius), 1 - F.least(n, pn) / F.greatest(n, pn), 1 - most / (n + pn - most))
 
-    def possible(na: Column, ata: Column, nb: Column, atb: Column) -> Column:
-        shaped = F.least(na, nb) * den >= F.greatest(na, nb) * num
-        return shaped & (F.least(na - ata, nb - atb) * (num + den) >= (na + nb) * num)
-
+    known = set_table(docs, cut, words)
     state = store(cut.select("cell", "id", "n", "at", F.lit(None).cast("long").alias("home")), "near-state")
-    edges: DataFrame | None = None
-    for level in range(ROUNDS):
-        first = F.struct(F.col("home").isNotNull().alias("later"), (F.col("at") / F.col("n")).alias("draw"), "id", "n", "at")
+    edges = state.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    level = 0
+    while True:
+        central = F.min(F.struct(F.col("home").isNotNull().alias("later"), (F.col("at") / F.col("n")).alias("draw"), "id"))
         # Homes that differ leave a cell open: points of two regions have not been compared.
         whole = (F.count("home") == F.count(F.lit(1))) & (F.min("home") == F.max("home"))
-        per = state.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.min(first).alias("first"), F.coalesce(whole, F.lit(False)).alias("whole"))
-        per = store(per.where((F.col("size") > 1) & ~F.col("whole")), "near-open")
-        big = per.where(F.col("size") > LEAF) if level < ROUNDS - 1 else per.where(F.lit(False))
-        leaf = per.where(F.col("size") <= LEAF) if level < ROUNDS - 1 else per
-        to_pivot = state.join(big.select("cell", F.col("first.id").alias("pivot"), F.col("first.n").alias("pn"), F.col("first.at").alias("pat")), "cell").where(F.col("id") != F.col("pivot"))
-        # Cells of one pivot go on as one: what shared a cell still does, and the earliest place stands for all.
-        one = F.when((F.min("home") == F.max("home")) & (F.count("home") == F.count(F.lit(1))), F.min("home"))
-        to_pivot = to_pivot.groupBy("pivot", "id").agg(F.max("n").alias("n"), F.min("at").alias("at"), one.alias("home"), F.max("pn").alias("pn"), F.min("pat").alias("pat"))
-        to_pivot = store(to_pivot.withColumn("cell", F.col("pivot")), "near-cells")
-        inner = state.join(leaf.select("cell"), "cell", "left_semi")
-        left, right = (inner.select("cell", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("at").alias(f"at_{x}"), F.col("home").alias(f"home_{x}")) for x in "ab")
-        may = possible(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b")) & (F.col("home_a").isNull() | ~F.col("home_a").eqNullSafe(F.col("home_b")))
-        outright = left.join(right, "cell").where((F.col("a") < F.col("b")) & may)
-        central = to_pivot.where(possible(F.col("n"), F.col("at"), F.col("pn"), F.col("pat")))
-        pairs = store(central.select(F.col("pivot").alias("a"), F.col("id").alias("b")).union(outright.select("a", "b")).distinct(), "near-pairs")
-        found = store(distances(docs, pairs, words), "near-distances")
-        near = found.where(similar).select("a", "b")
-        edges = near if edges is None else edges.union(near)
-        if level == ROUNDS - 1 or to_pivot.isEmpty():
+        per = state.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), central["id"].alias("first"), F.coalesce(whole, F.lit(False)).alias("whole"))
+        per = store(per.where((F.col("size") > 1) & ~F.col("whole")).select("cell", "size", "first"), "near-open")
+        if per.isEmpty():
             break
+        share = F.lit(float(PIVOTS << 2 * level)) / F.greatest(F.col("size") - 2, F.lit(1))  # two points need one pivot
+        drawn = (F.pmod(F.xxhash64("id", F.lit(level)), F.lit(1 << 30)) / float(1 << 30) < share) & (F.col("size") > 2)
+        pivots = state.join(per, "cell").where(drawn | (F.col("id") == F.col("first"))).select("cell", F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("at").alias("pat"))
+        pivots = store(pivots, "near-pivots")
+        met = state.join(pivots, "cell").where(F.col("id") != F.col("pivot")).withColumn("may", possible).withColumn("least", least_apart)
+        met = store(met.select("cell", "id", "n", "at", "home", "pivot", "may", "least"), "near-met")
+        pairs = met.where("may").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+        found = store(distances(known, pairs), "near-distances")
+        edges = edges.union(found.where(similar).select("a", "b"))
         far = found.select(F.col("a").alias("pivot"), F.col("b").alias("id"), apart.alias("apart"), similar.alias("linked"))
-        # A pair that was ruled out is farther than the radius; how far, isn't known.
-        judged = to_pivot.join(far, ["pivot", "id"], "left").withColumn("linked", F.coalesce("linked", F.lit(False))).withColumn("apart", F.coalesce("apart", F.lit(radius)))
-        edge = judged.where(~F.col("linked")).groupBy("cell").agg(F.min("apart").alias("_nearest"))
-        judged = judged.join(edge, "cell")  # cells without a point outside are done
-        inside = F.col("linked") & (F.col("apart") >= F.col("_nearest") - radius - 1e-9)
-        state = judged.where(~F.col("linked") | inside).select("cell", "id", "n", "at", F.when(F.col("linked"), F.col("pivot")).otherwise(F.col("home")).alias("home"))
-        state = store(state, "near-state")
+        judged = met.join(far, ["pivot", "id"], "left").join(pivots.select("cell", F.col("pivot").alias("id")), ["cell", "id"], "left_anti")
+        judged = judged.withColumn("linked", F.coalesce("linked", F.lit(False))).withColumn("d", F.coalesce("apart", "least"))
+        # The nearest pivot of each point among those whose distance is known.
+        nearest = F.min(F.when(F.col("apart") <= 2 * radius, F.struct("apart", "pivot")))["pivot"]
+        regions = judged.groupBy("cell", "id").agg(nearest.alias("region"), F.first("n").alias("n"), F.min("at").alias("at"), F.min("home").alias("home"))
+        regions = store(regions, "near-regions")
+        judged = judged.select("cell", "id", "n", "at", "home", "pivot", "linked", "d").join(regions.select("cell", "id", "region"), ["cell", "id"])
+        judged = store(judged, "near-judged")
+        wide = judged.where(F.col("region") == F.col("pivot")).groupBy("cell", "pivot").agg(F.max("d").alias("_wide"))
+        held = judged.join(wide, ["cell", "pivot"]).withColumn("inner", F.coalesce(F.col("region") == F.col("pivot"), F.lit(False)))
+        held = held.where(F.col("inner") | (F.col("d") <= F.col("_wide") + radius + slack))
+        # Regions of one pivot go on as one: what shared one still does.
+        held = held.groupBy("pivot", "id").agg(F.first("n").alias("n"), F.min("at").alias("at"), F.min("home").alias("home"), F.max("linked").alias("linked"), F.min("d").alias("d"), F.max("inner").alias("inner"))
+        held = store(held, "near-windows")
+        outside = held.where(~F.col("linked")).groupBy("pivot").agg(F.min("d").alias("_out"))
+        kept = held.join(outside, "pivot").where(~F.col("linked") | (F.col("d") >= F.col("_out") - radius - slack))
+        kept = kept.select(F.xxhash64(F.lit(level), "pivot").alias("cell"), "id", "n", "at", F.when(F.col("linked"), F.col("pivot")).otherwise(F.col("home")).alias("home"))
+        rest = regions.where(F.col("region").isNull()).select(F.xxhash64(F.lit(-1), "cell").alias("cell"), "id", "n", "at", "home")
+        state = store(kept.union(rest), "near-state")
+        if trace is not None:
+            trace.append({"cells": per.count(), "pivots": pivots.count(), "pairs": found.count(), "regions": held.where("inner").select("pivot").distinct().count(), "inside": held.where("inner").count(), "copied": held.where(~F.col("inner")).count(), "left": state.count()})
+        level += 1
     return store(edges.distinct(), "near-links")
 
 
@@ -422,7 +442,12 @@ def join(docs: DataFrame, num: int = NUM, den: int = DEN, words: int = WORDS) ->
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each group: that with the smallest doc_id; all columns stay."""
+    """``docs`` with one document of each group: that with the smallest doc_id; all columns stay.
+
+    Rows repeated under one doc_id with one text count once; rows without a
+    doc_id stay, as they are in no group.
+    """
     found = join(docs, **options)
-    later = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    later = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    left = docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    return left.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "text"]).union(left.where(F.col("doc_id").isNull()))

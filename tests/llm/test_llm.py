@@ -178,9 +178,9 @@ def brute_components(texts):
     return {i: find(i) for i in sets}, sets
 
 
-@pytest.mark.parametrize("leaf", [1, 24])
-def test_jaccard_join(spark, odd, leaf, monkeypatch):
-    monkeypatch.setattr(nearjoin, "LEAF", leaf)
+@pytest.mark.parametrize("pivots", [1, 8])
+def test_jaccard_join(spark, odd, pivots, monkeypatch):
+    monkeypatch.setattr(nearjoin, "PIVOTS", pivots)
     rng = np.random.default_rng(5)
     words = [f"t{i}" for i in range(400)]
     seeds = [list(rng.choice(words, 60)) for _ in range(6)]
@@ -197,7 +197,7 @@ def test_jaccard_join(spark, odd, leaf, monkeypatch):
 
 
 def test_regions_bridged_by_one_link_are_one_component(spark):
-    """Two groups of more than LEAF, each closed around its pivot, whose only link runs between their boundaries."""
+    """Two groups, each closed around its pivot, whose only link runs between their boundaries."""
     size = 70
 
     def swapped(k: int, own: int) -> str:
