@@ -2,11 +2,15 @@
 
 ``targets`` turns source weights into words: shares by weight, each held at
 ``max_epochs`` times what its source has, the excess reshared by weight
-(water filling, in closed form). ``mix`` then gives every document the whole
-copies that its expected count makes certain and draws the rest by Pareto
-order sampling: with ``u`` uniform per document and ``p`` its inclusion
-probability, documents rank by ``u/(1-u) / (p/(1-p))``, and the first ones
-are taken until one doesn't fit the source's remaining words. That one is
+(water filling, in closed form). Within a source a document's expected copies
+are its odds times one factor per source, at most ``max_epochs``; the factor
+makes the words add up to the target (water filling again, over the source's
+distinct odds, which are rounded to eighths of a power of two, so they are few).
+``mix`` gives every document the whole copies that its expected count makes
+certain and draws the rest by Pareto order sampling: with ``u`` uniform per
+document and ``p`` its own inclusion probability, documents rank by
+``u/(1-u) / (p/(1-p))``, and the first ones are taken until one doesn't fit
+the source's remaining words. That one is
 passed over, and so on through all later ranks: whatever still fits is taken.
 This goes by turns of ``FILL`` ranks put in order and a search, by slices, for
 the next rank that doesn't fit, until none fits. The sample's size is thus
@@ -19,8 +23,8 @@ of their rank (``SLICES`` slices, then as many slices of the slice where the
 target falls), and only that last slice is put in order. No collect.
 
 Defined results: null text has size 0; null sources form a source of their
-own, last in order; documents of size 0 get the whole copies of their source
-and no draw; equal ranks order by doc_id, then size; repeated rows are drawn
+own, last in order; documents of size 0 get their whole copies and no draw;
+odds that are null, zero or negative count as the smallest there are; equal ranks order by doc_id, then size; repeated rows are drawn
 together or not at all; an empty table gives an empty mix.
 """
 
@@ -65,6 +69,32 @@ def targets(sizes: DataFrame, max_epochs: int = 3, cycle: int = 3) -> DataFrame:
     return per.withColumn("_at", level).select("source", "source_size", F.coalesce(held, F.col("most").cast("double")).alias("target"))
 
 
+def by_length() -> Column:
+    """Odds that grow slowly with a document's words: of two, the longer one is likelier to come again."""
+    return F.log2(F.col("size") + 2)
+
+
+def _rounded(odds: Column) -> Column:
+    """Odds as powers of two in steps of an eighth, between 2**-30 and 2**30."""
+    eighths = F.round(8 * F.log2(F.when(odds > 0, odds)))
+    return F.pow(F.lit(2.0), F.least(F.greatest(F.coalesce(eighths, F.lit(-240.0)), F.lit(-240.0)), F.lit(240.0)) / 8)
+
+
+def factors(sizes: DataFrame, plan: DataFrame, max_epochs: int = 3) -> DataFrame:
+    """Per source of ``sizes`` (source, size, odds), the factor that turns odds into expected copies.
+
+    ``plan`` (_source, target). The window spans a source's distinct odds, 481 at most.
+    """
+    per = sizes.groupBy("source", "_odds").agg(F.sum("size").alias("_s"))
+    per = per.join(plan, per["source"].eqNullSafe(plan["_source"]))
+    down = Window.partitionBy("source").orderBy(F.desc("_odds"))
+    full = F.coalesce(F.sum("_s").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum(F.col("_odds") * F.col("_s")).over(down.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    per = per.withColumn("_f", (F.col("target") - max_epochs * full) / F.nullif(rest, F.lit(0.0)))
+    ok = F.col("_f") * F.col("_odds") <= max_epochs * (1 + 1e-12)
+    return per.groupBy(F.col("source").alias("_source")).agg(F.max_by("_f", F.when(ok, F.col("_odds"))).alias("_factor"))
+
+
 def rank_key(seed: str, doc: Column, share: Column) -> Column:
     """Random odds over inclusion odds; +inf where nothing is to be drawn."""
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(doc.cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(UNIT) + 1)
@@ -80,28 +110,38 @@ def _filled(rows: DataFrame, slice_of: Column) -> DataFrame:
     return sums.where(F.col("_upto") > F.col("_left")).groupBy(F.col("source").alias("_source")).agg(F.min("_slice").alias("_edge"), F.min_by(F.col("_upto") - F.col("_words"), "_slice").alias("_before"))
 
 
-def mix(docs: DataFrame, seed: str = "mix", max_epochs: int = 3, odds: str | None = None, slim: bool = False) -> DataFrame:
+def mix(docs: DataFrame, seed: str = "mix", max_epochs: int = 3, odds: Column | str | None = None, slim: bool = False) -> DataFrame:
     """``docs`` (doc_id, source, text) with size, source_size, target, copies and taken.
 
-    ``odds`` names a column of relative inclusion odds (default: all alike);
-    it shifts which documents are drawn, not how many words. ``slim`` leaves
-    out all columns of ``docs`` but doc_id and source.
+    ``odds`` gives relative inclusion odds, as a column of ``docs`` or an
+    expression that may use size (default: all alike); it shifts which
+    documents come how often, not how many words. ``slim`` leaves out all
+    columns of ``docs`` but doc_id and source.
     """
     own = ["size", "source_size", "target", "copies", "taken"]
+    weight = F.lit(1.0) if odds is None else F.col(odds) if isinstance(odds, str) else odds
     docs = docs.select(*[c for c in docs.columns if c not in own]).withColumn("size", n_words(F.col("text")))
-    small = store(docs.select("doc_id", "source", "size", *([odds] if odds else [])), "mix-sizes")
-    plan = targets(small.select("source", "size"), max_epochs)
-    plan = plan.withColumn("_rate", F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size")))
-    plan = plan.select(F.col("source").alias("_source"), "source_size", "target", F.coalesce(F.floor("_rate"), F.lit(0)).cast("long").alias("_whole"), F.coalesce(F.col("_rate") - F.floor("_rate"), F.lit(0.0)).alias("_share"))
-    plan = store(plan.withColumn("_left", F.col("target") - F.col("_whole") * F.col("source_size")), "mix-plan")
+    small = store(docs.select("doc_id", "source", "size", _rounded(weight.cast("double")).alias("_odds")), "mix-sizes")
+    plan = targets(small.select("source", "size"), max_epochs).withColumnRenamed("source", "_source")
+    plan = store(plan, "mix-targets")
+    found = factors(small, plan.select("_source", "target"), max_epochs).withColumnRenamed("_source", "_of")
+    plan = store(plan.join(found, plan["_source"].eqNullSafe(found["_of"]), "left").drop("_of"), "mix-plan")
 
     def by_source(rows: DataFrame, per: DataFrame, how: str = "inner") -> DataFrame:
         """A row per source, stored beforehand, so Spark knows its size and sends it round if small."""
         return rows.join(per, rows["source"].eqNullSafe(per["_source"]), how).drop("_source")
 
+    def expected(rows: DataFrame) -> DataFrame:
+        """With _whole, the certain copies, and _share, the probability of one more."""
+        copies = F.least(F.coalesce(F.col("_factor") * F.col("_odds"), F.lit(0.0)), F.lit(float(max_epochs)))
+        rows = by_source(rows, plan).withColumn("_copies", copies).withColumn("_whole", F.floor(F.col("_copies") + 1e-9).cast("long"))
+        return rows.withColumn("_share", F.greatest(F.col("_copies") - F.col("_whole"), F.lit(0.0))).drop("_copies", "_factor", "_odds")
+
+    whole = expected(small).groupBy(F.col("source").alias("_source")).agg((F.max("target") - F.sum(F.col("_whole") * F.col("size"))).alias("_left"))
+    whole = store(whole, "mix-left")
+
     def ranks(rows: DataFrame) -> DataFrame:
-        share = F.col("_share") if odds is None else F.least(F.col("_share") * F.greatest(F.coalesce(F.col(odds).cast("double"), F.lit(1.0)), F.lit(1e-9)), F.lit(1 - 1e-9))
-        return by_source(rows, plan).withColumn("_key", rank_key(seed, F.col("doc_id"), share))
+        return by_source(expected(rows), whole).withColumn("_key", rank_key(seed, F.col("doc_id"), F.col("_share")))
 
     me = F.struct("_key", "doc_id", "size")
 
@@ -118,6 +158,7 @@ def mix(docs: DataFrame, seed: str = "mix", max_epochs: int = 3, odds: str | Non
 
     # Repeated rows are one draw of all their words.
     draws = ranks(small).where(F.col("_key").isNotNull() & (F.col("size") > 0)).groupBy("source", "doc_id", "size", "_key", "_left").agg(F.sum("size").alias("words"))
+    # ``words`` of a draw: of all rows that are alike.
     draws = store(draws.withColumn("_place", F.floor(F.col("_key") / (1 + F.col("_key")) * (SLICES * SLICES)).cast("long")), "mix-draws")
     fill = first_over(draws)
     at = f"struct<_key:double,doc_id:{small.schema['doc_id'].dataType.simpleString()},size:bigint>"
@@ -139,7 +180,7 @@ def mix(docs: DataFrame, seed: str = "mix", max_epochs: int = 3, odds: str | Non
         if more.isEmpty():
             break
         # Then all that fit, up to the first that no longer does.
-        rest = by_source(draws.drop("_left"), more).where((me > F.col("_at")) & (F.col("size") <= F.col("_gap"))).withColumn("_left", F.col("_gap")).drop("_at", "_gap")
+        rest = by_source(draws.drop("_left"), more).where((me > F.col("_at")) & (F.col("words") <= F.col("_gap"))).withColumn("_left", F.col("_gap")).drop("_at", "_gap")
         over = first_over(rest).select(F.col("_source").alias("_over"), F.col("_edge").alias("_to"), F.col("_gap").alias("_less"))
         sums = rest.groupBy(F.col("source").alias("_summed")).agg(F.sum("words").alias("_words"))
         fill = fill.join(over, fill["_source"].eqNullSafe(over["_over"]) & fill["_open"], "left").join(sums, fill["_source"].eqNullSafe(sums["_summed"]) & fill["_open"], "left")
@@ -148,15 +189,20 @@ def mix(docs: DataFrame, seed: str = "mix", max_epochs: int = 3, odds: str | Non
         fill = fill.withColumn("_gap", F.coalesce("_less", F.col("_gap") - F.col("_words"), "_gap").cast("double"))
         fill = fill.withColumn("_open", F.col("_to").isNotNull()).withColumn("_at", F.coalesce("_to", "_at"))
         fill = store(fill.drop("_over", "_to", "_less", "_summed", "_words"), "mix-fill")
-    later = F.exists("_runs", lambda r: (me > r["from"]) & (r["to"].isNull() | (me < r["to"])) & (F.col("size") <= r["most"]))
+    later = F.exists("_runs", lambda r: (me > r["from"]) & (r["to"].isNull() | (me < r["to"])) & (F.col("_words") <= r["most"]))
     got = F.coalesce(F.array_contains("_got", me) | later, F.lit(False))
     # The one document that comes nearest to the rest.
     off = F.struct(F.abs(F.col("_gap") - F.col("words")).alias("d"), me.alias("at"))
-    closing = by_source(draws, fill).where((me >= F.col("_edge")) & ~got).groupBy(F.col("source").alias("_closed")).agg(F.min(off).alias("_c"), F.max("_gap").alias("_g"))
+    closing = by_source(draws.withColumn("_words", F.col("words")), fill).where((me >= F.col("_edge")) & ~got).groupBy(F.col("source").alias("_closed")).agg(F.min(off).alias("_c"), F.max("_gap").alias("_g"))
     closing = closing.where(F.col("_c.d") < F.col("_g")).select("_closed", F.col("_c.at").alias("_close"))
     edges = store(fill.join(closing, fill["_source"].eqNullSafe(closing["_closed"]), "left").select("_source", "_edge", "_got", "_runs", "_close"), "mix-edges")
 
-    out = by_source(ranks(small if slim else docs), edges, "left")
+    rows = ranks(small if slim else docs.withColumn("_odds", _rounded(weight.cast("double"))))
+    # The words of a draw, where rows repeat.
+    alike = draws.where(F.col("words") > F.col("size")).select(F.col("source").alias("_s1"), F.col("doc_id").alias("_s2"), F.col("size").alias("_s3"), "words")
+    rows = rows.join(alike, rows["source"].eqNullSafe(F.col("_s1")) & rows["doc_id"].eqNullSafe(F.col("_s2")) & (rows["size"] == F.col("_s3")), "left")
+    rows = rows.withColumn("_words", F.coalesce("words", "size")).drop("_s1", "_s2", "_s3", "words")
+    out = by_source(rows, edges, "left")
     drawn = F.col("_key").isNotNull() & (F.col("size") > 0) & (F.col("_edge").isNull() | (me < F.col("_edge")) | got | (F.col("_close").isNotNull() & (me == F.col("_close"))))
     out = out.withColumn("copies", F.col("_whole") + F.when(drawn, 1).otherwise(0).cast("long"))
     out = out.withColumn("taken", F.col("copies") * F.col("size"))

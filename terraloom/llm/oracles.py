@@ -4,12 +4,12 @@ _RECORD = r"""'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(1
  || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen({0}) || chr(13) || chr(10) || chr(13) || chr(10) || {0} || chr(13) || chr(10) || chr(13) || chr(10)"""
 
 WARC = f"""
-WITH p AS (SELECT page_id, coalesce(url, '') url, coalesce(html, '') html, CASE WHEN substr(md5(CAST(page_id AS varchar)), 1, 2) IN ('00', '40', '80', 'c0') AND length(html) > 0 THEN '#' || substr(html, 2) ELSE coalesce(html, '') END theirs FROM pages),
+WITH p AS (SELECT page_id, coalesce(url, '') url, coalesce(html, '') html, substr(md5(CAST(page_id AS varchar)), 1, 2) rot, CASE WHEN rot IN ('00', '40', '80', 'c0') AND length(html) > 0 THEN '#' || substr(html, 2) ELSE coalesce(html, '') END theirs FROM pages),
 n AS (SELECT greatest(1, (count(*) + 999) // 1000) f FROM p),
-r AS (SELECT page_id, CAST(('0x' || substr(md5(CAST(page_id AS varchar)), 1, 8)) AS bigint) % f warc_file, {_RECORD.format('html')} a, {_RECORD.format('theirs')} b FROM p, n),
-d AS (SELECT page_id, warc_file, CAST(strlen(a) AS bigint) length, sha256(a) digest, sha256(b) their_digest FROM r)
-SELECT page_id, warc_file, row_number() OVER w - 1 AS position, CAST(coalesce(sum(length) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) AS "offset", length, digest, their_digest, digest <> their_digest damaged
-FROM d WINDOW w AS (PARTITION BY warc_file ORDER BY page_id, digest)"""
+r AS (SELECT page_id, rot, CAST(('0x' || substr(md5(CAST(page_id AS varchar)), 1, 8)) AS bigint) % f warc_file, CAST(('0x' || substr(md5(CAST(page_id AS varchar)), 9, 8)) AS bigint) spot, {_RECORD.format('html')} a, {_RECORD.format('theirs')} b FROM p, n),
+d AS (SELECT page_id, warc_file, spot, CAST(strlen(a) AS bigint) length, sha256(a) digest, CASE WHEN rot NOT IN ('01', '41', '81', 'c1') THEN sha256(b) END their_digest FROM r)
+SELECT page_id, warc_file, row_number() OVER w - 1 AS position, CAST(coalesce(sum(length) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) AS "offset", length, digest, their_digest, digest IS DISTINCT FROM their_digest damaged
+FROM d WINDOW w AS (PARTITION BY warc_file ORDER BY spot, page_id, digest)"""
 
 JACCARD = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws FROM documents),

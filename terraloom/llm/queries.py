@@ -34,7 +34,7 @@ def op2_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents"), ["doc_id", "source", "text"])
-    return mixing.mix(docs, slim=True).select("doc_id", "source", "size", "source_size", "target", "taken")
+    return mixing.mix(docs, odds=mixing.by_length(), slim=True).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,10 +60,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages and a replica of them with bit rot: in one page of 64, by md5 of its id, the first character of a text is another."""
+    """The pages and a replica of them with bit rot (in one page of 64, by md5 of its id, the first character is another) and lost records (one of 64)."""
     pages = spread(table(spark, sf_dir, "pages"), ["page_id", "url", "html"])
-    rot = F.substring(F.md5(F.col("page_id").cast("string")), 1, 2).isin("00", "40", "80", "c0") & (F.length("html") > 0)
-    replica = pages.withColumn("html", F.when(rot, F.concat(F.lit("#"), F.substring("html", 2, 1 << 30))).otherwise(F.col("html")))
+    hashed = F.substring(F.md5(F.col("page_id").cast("string")), 1, 2)
+    rot = hashed.isin("00", "40", "80", "c0") & (F.length("html") > 0)
+    replica = pages.where(~F.coalesce(hashed.isin("01", "41", "81", "c1"), F.lit(False))).withColumn("html", F.when(rot, F.concat(F.lit("#"), F.substring("html", 2, 1 << 30))).otherwise(F.col("html")))
     return warc.audit_pages(pages, replica)
 
 

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -162,6 +163,35 @@ def test_mix_fills_the_gap_before_a_long_document(spark):
     assert abs(got["taken"].sum() - left) <= gap
 
 
+def test_mix_by_unequal_odds(spark):
+    """Expected copies follow the odds up to the limit; certain copies are whole; words come near the target."""
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(["w"] * int(rng.integers(1, 30))), "abc"[i % 3], float((1, 2, 8)[i % 7 % 3])) for i in range(1500)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS), odds="score").toPandas()
+    for _, g in got.groupby("source"):
+        target = g["target"].iloc[0]
+        lo, hi = 0.0, 1e6
+        for _ in range(200):  # the factor by bisection
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if (np.minimum(3, mid * g["score"]) * g["size"]).sum() < target else (lo, mid)
+        want = np.minimum(3, hi * g["score"])
+        assert (g["copies"] >= np.floor(want - 1e-6)).all() and (g["copies"] <= np.ceil(want + 1e-6)).all()
+        assert abs(g["taken"].sum() - target) <= 2
+        for w in (1.0, 2.0, 8.0):
+            mine = g["score"] == w
+            assert g[mine]["copies"].mean() == pytest.approx(want[mine].mean(), abs=0.12)
+    assert got[got["score"] == 8]["copies"].min() >= 1
+
+
+def test_mix_of_repeated_rows(spark):
+    """Rows alike are drawn together, and the target is met as nearly as they allow."""
+    rows = [(i, " ".join(["w"] * (5 + i % 9)), "ab"[i % 2], 0.0) for i in range(80) for _ in range(10)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS)).toPandas()
+    assert (got.groupby("doc_id")["copies"].nunique() == 1).all()
+    for _, g in got.groupby("source"):
+        assert abs(g["taken"].sum() - g["target"].iloc[0]) <= 10 * 13 / 2 + 1
+
+
 # 4
 def brute_components(texts):
     sets, root = {i: shingles(t) for i, t in texts}, {i: i for i, _ in texts}
@@ -284,6 +314,22 @@ def test_neighbours(spark):
     assert hilbert.search(v.where("vec_id < 5")).count() == 4 and hilbert.search(v.where("vec_id > 9000")).count() == 0
 
 
+def test_windows_beat_chance(spark):
+    """Far fewer pairs than all, and far better than windows of the same size over random orders would find."""
+    rng = np.random.default_rng(2)
+    n = 6000
+    x = rng.normal(size=(n, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = hilbert.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).toPandas()
+    hit = 0
+    for i in range(0, n, 20):
+        s = x @ x[i]
+        s[i] = -np.inf
+        hit += len(set(np.argsort(-s)[:20]) & set(got[got.query_id == i]["vec_id"]))
+    shown = hilbert.CURVES * hilbert.window_rows(n) / n
+    assert shown < 1 and hit / n >= 0.93 > 1 - np.exp(-shown) + 0.2
+
+
 # 7
 PAGE = """<html><head><title>t</title><script>var a="<p>no</p>"</script></head><body><div class="menu"><a href=/>Home</a></div><header>Site</header>
 <div><p>Site of %d hosts</p><h1>Story &amp; %d</h1><p>First  line<br>goes <b>on %d<p>Second&nbsp;line %d</div>
@@ -300,6 +346,42 @@ def test_template_extraction(spark, empty):
     assert template.main_texts(none).count() == 0
 
 
+def brute_main(page, boilerplate):
+    """Of pages as written below: the article's blocks, but for what the host repeats and reader comments."""
+    inner = re.search(r"<(article|div class=.body.)>(.*?)</(article|div)>", page, re.S)[2]
+    inner = re.sub(r"<section class=.comments.>.*?</section>", "", inner, flags=re.S)
+    blocks = [" ".join(re.sub(r"<[^>]*>", "", b.replace("<br>", " ")).split()) for b in re.split(r"</?(?:p|h1|h2)[^>]*>", inner)]
+    return "\n\n".join(b.replace("&amp;", "&") for b in blocks if b and b not in boilerplate)
+
+
+def test_template_decides(spark):
+    """Pages shaped like real ones: the template, and not tag names, finds the content of a host whose articles are plain divs."""
+    again = "Share this story with your friends today"
+    made = []
+    for h in range(3):
+        box = "article" if h == 0 else "div class='body'"
+        for i in range(8):
+            paragraphs = "".join(f"<p>Paragraph {k} of page {i} on host {h} &amp; <b>some</b><br>more words {i * k}</p>" for k in range(3 + i % 3))
+            notes = "<section class='comments'><p>I disagree with number %d</p></section>" % i if i % 4 == 0 else ""
+            html = f"<html><head><title>x</title></head><body><nav><a href=/>Home</a></nav><div class='x7'>Buy now {i}</div><{box}><h1>Title {i} of {h}</h1>{paragraphs}<p>{again}</p>{notes}</{box.split()[0]}><footer>c</footer></body></html>"
+            made.append((len(made), f"http://h{h}.example/{i}", html))
+    got = {r["page_id"]: r["text"] for r in template.main_texts(spark.createDataFrame(made, "page_id long, url string, html string")).collect()}
+    for k, _, html in made:
+        assert got[k] == brute_main(html, {again})
+        assert template.extract(html) != got[k] and again in template.extract(html)  # without the host's template
+
+
+def test_template_on_odd_markup():
+    assert template.extract("<p title=it's>Hello</p><p>World</p>") == "Hello\n\nWorld"
+    assert template.extract("<div class='article social-news'><h1>T</h1><p>Body</p></div>") == "T\n\nBody"
+    assert template.extract("<article><h2 class='header'>H</h2><p class='notice'>N</p></article>") == "H\n\nN"
+    assert template.extract("<article>Teaser</article><div><h1>Title</h1><p>%s</p></div>" % ("body " * 30)).startswith("Title\n\nbody")
+    began = time.time()
+    template.extract('<a title="' * 20_000)
+    template.extract("<div>" * 20_000 + "</x>" * 20_000)
+    assert time.time() - began < 2
+
+
 # 8
 def brute_lines(rows):
     lines = [((i, k), frozenset(x for x in re.split(r"[ \t\r\x0b\x0c]", line.lower()) if x)) for i, t in rows if t is not None for k, line in enumerate(t.split("\n"))]
@@ -335,11 +417,18 @@ def test_fixity_audit(spark):
     rows = [(i, f"u{i}", f"page {i} " * (i % 7)) for i in range(300)] + [(None, None, None), (5, "u5", "again")]
     a = spark.createDataFrame(rows, "page_id long, url string, html string")
     b = a.withColumn("html", F.when(F.col("page_id").isin(17, 200), F.concat(F.lit("#"), F.substring("html", 2, 999))).otherwise(F.col("html")))
-    got = warc.audit_pages(a, b, records=40, fanout=4)
+    got = warc.audit_pages(a, b, records=40)
     assert {r["page_id"] for r in got.where("damaged").collect()} == {17, 200} and got.count() == len(rows)
     assert warc.audit_pages(a, a, records=40).where("damaged").count() == 0
+    # A record that is lost, or added, is one damaged record, whichever side it is on.
+    fewer = a.where(~F.coalesce(F.col("page_id").isin(17, 120), F.lit(False)))
+    for x, y, null in ((a, fewer, "their_digest"), (fewer, a, "digest")):
+        bad = warc.audit_pages(x, y, records=40).where("damaged").collect()
+        assert {r["page_id"] for r in bad} == {17, 120} and len(bad) == 2 and all(r[null] is None for r in bad)
+    twice = a.union(a.where("page_id = 9"))
+    assert [r["page_id"] for r in warc.audit_pages(a, twice, records=40).where("damaged").collect()] == [9]
     none = spark.createDataFrame([], "page_id long, url string, html string")
-    assert warc.audit_pages(none, none).count() == 0
+    assert warc.audit_pages(none, none).count() == 0 and warc.audit_pages(none, a).where("damaged").count() == len(rows)
     one = got.where("page_id = 3").first()
     raw = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:3>\r\nWARC-Target-URI: u3\r\nContent-Type: text/html\r\nContent-Length: 21\r\n\r\n" + b"page 3 " * 3 + b"\r\n\r\n"
     import hashlib
