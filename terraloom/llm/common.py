@@ -30,27 +30,32 @@ _local_shared: str | None = None
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary
-    folder is made and set.
+    Only where the session names none and runs on one machine a temporary
+    folder is made and set; on a cluster that is an error, as executors would
+    each write to their own disk.
     """
     global _local_shared
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _local_shared is None:
         _local_shared = tempfile.mkdtemp(prefix="terraloom-")
         spark.sparkContext.setCheckpointDir(_local_shared)
     return _local_shared
 
 
-def store(df: DataFrame, label: str) -> DataFrame:
+def store(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 
-    This cuts the lineage; a lost executor costs nothing that was stored.
+    This cuts the lineage; a lost executor costs nothing that was stored. The
+    tables lie under terraloom/ in that folder, for its owner to clear between
+    jobs: a lazy result may still read them after the call that wrote them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/terraloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -4,7 +4,12 @@
 header, Segment with Info, Tracks, Clusters of laced SimpleBlocks and Cues.
 ``packets`` parses any such file (known and unknown sizes, SimpleBlock and
 BlockGroup, no, Xiph, fixed-size and EBML lacing) into a packet table with
-track, timestamp and byte range. ``add_media`` does both for a text column.
+track, timestamp and byte range. ``store_media`` writes the files of a text
+column as a media column of a stored table, ``packet_table`` gives a row per
+packet of it, and ``read_media`` what reading the stored bytes back shows.
+
+A worker holds a batch of at most ``ARROW_ROWS`` rows and the files of one
+batch; of a file's size there is no bound but Spark's own on a row.
 
 Defined results: a null text counts as empty and gives one frame of padding;
 equal texts give equal files; rows are independent, so ties, repeated rows,
@@ -23,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from terraloom.llm.common import tune
+from terraloom.llm.common import store, tune
 
 FRAME = 192  #: samples in a frame: 24 ms at 8 kHz
 RATE = 8000
@@ -260,37 +265,66 @@ def feature(samples: np.ndarray, media: Media) -> str:
     return f"packets={len(media.packets)};clusters={len(media.clusters)};cues={len(media.cues)};ms={media.packets[-1][1] + FRAME_MS};power={level};change={change};crossings={crossings};peak={int(np.abs(x).max())}"
 
 
-#: What reading back gives; the stored file comes last.
+#: What reading back gives.
 FIELDS = [
-    T.StructField("n_bytes", T.LongType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()),
-    T.StructField("tail_crc32", T.LongType()), T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()),
-    T.StructField("n_packets", T.LongType()), T.StructField("n_clusters", T.LongType()), T.StructField("feature", T.StringType()), T.StructField("media", T.BinaryType()),
-]
+    T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()),
+    T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("feature", T.StringType()),
+    T.StructField("n_packets", T.LongType()), T.StructField("n_clusters", T.LongType()),
+]
+_ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
 
 
-def describe(text: str | None, lacing: str) -> tuple:
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    stored = encode(pad(raw), lacing)
+def describe(stored: bytes) -> tuple:
+    """``FIELDS`` of a file, from its bytes alone."""
     media = packets(stored)
     back = b"".join(stored[a : a + n] for _, _, a, n in media.packets)
-    return (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), len(media.packets), len(media.clusters), feature(np.frombuffer(back, np.uint8), media), stored)
+    return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(np.frombuffer(back, np.uint8), media), len(media.packets), len(media.clusters)
 
 
-def add_media(docs: DataFrame, text: str = "text", lacing: str = "ebml", keep_media: bool = True) -> DataFrame:
-    """``docs`` with the stored form of ``text`` and what reading it back gives; ``text`` itself is dropped."""
-    tune(docs.sparkSession)
-    fields = FIELDS if keep_media else FIELDS[:-1]
+def _mapped(rows: DataFrame, source: str, fields: list[T.StructField], make, keep_source: bool = False) -> DataFrame:
+    """``rows`` with ``fields``, made from one column by ``make``, in place of it (or beside it)."""
+    tune(rows.sparkSession)
     names = [f.name for f in fields]
-    kept = [f for f in docs.schema.fields if f.name != text and f.name not in names]
-    width = len(names)
+    kept = [f for f in rows.schema.fields if (keep_source or f.name != source) and f.name not in names]
 
     def run(batches):
         for batch in batches:
-            rows = [describe(x, lacing)[:width] for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            columns = list(zip(*rows)) if rows else [[] for _ in names]
-            types = {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}
+            got = [make(x) for x in batch.column(batch.schema.get_field_index(source)).to_pylist()]
+            columns = list(zip(*got)) if got else [[] for _ in names]
             arrays = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
-            arrays += [pa.array(c, types[f.dataType.simpleString()]) for c, f in zip(columns, fields)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in kept] + names)
+            yield pa.RecordBatch.from_arrays(arrays + [pa.array(c, _ARROW[f.dataType.simpleString()]) for c, f in zip(columns, fields)], names=[f.name for f in kept] + names)
+
+    return rows.select(*[f.name for f in kept if f.name != source], source).mapInArrow(run, T.StructType(kept + fields))
+
+
+def store_media(docs: DataFrame, text: str = "text", lacing: str = "ebml") -> DataFrame:
+    """``docs`` as a stored table with n_bytes and media, the file of ``text``, in place of ``text``."""
+
+    def make(value: str | None) -> tuple:
+        raw = (value or "").encode("utf-8", "surrogatepass")
+        return len(raw), encode(pad(raw), lacing)
+
+    return store(_mapped(docs, text, [T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())], make), "media", "zstd")
+
+
+def read_media(files: DataFrame, keep_media: bool = False) -> DataFrame:
+    """``files`` (media) with ``FIELDS``, read back from the stored bytes."""
+    return _mapped(files, "media", FIELDS, describe, keep_media)
 
-    return docs.select(*[f.name for f in kept], text).mapInArrow(run, T.StructType(kept + fields))
+
+def packet_table(files: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, packet, track, timestamp in ms, offset, length) of every packet of ``files`` (key, media)."""
+    kind = files.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            rows = [(k, i, *p) for k, data in enumerate(batch.column(1).to_pylist()) for i, p in enumerate(packets(data).packets)]
+            who, *columns = zip(*rows) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who, pa.int64()))] + [pa.array(c, pa.int64()) for c in columns], names=[key, "packet", "track", "timestamp", "offset", "length"])
+
+    return files.select(key, "media").mapInArrow(run, f"{key} {kind}, packet long, track long, timestamp long, offset long, length long")
+
+
+def add_media(docs: DataFrame, text: str = "text", lacing: str = "ebml", keep_media: bool = True) -> DataFrame:
+    """``docs`` with the stored form of ``text`` and what reading it back gives; ``text`` itself is dropped."""
+    return read_media(store_media(docs, text, lacing), keep_media)

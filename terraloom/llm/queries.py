@@ -29,7 +29,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents"), ["doc_id", "text"])
-    return matroska.add_media(docs, keep_media=False)
+    return matroska.add_media(docs, keep_media=False).select("doc_id", "n_bytes", *[f.name for f in matroska.FIELDS])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,12 +7,17 @@ surest carry it as their value, and a logistic regression is fitted on them.
 Scores read the text alone.
 
 The model is fitted on at most ``SAMPLE`` labelled rows, chosen by hash of
-doc_id; this bound is the documented parameter ``sample``. Counting runs on
-the executors; the driver sees at most ``features`` ratios and the sample's
-short feature lists.
+doc_id; this bound, and that of ``features`` n-grams, are documented
+parameters. Counting runs on the executors, and so does the fit, in one task
+that holds the sample's feature lists (``sample * features`` numbers of 16
+bits at most, ``features`` below 65,536). The driver sees ``features`` ratios
+and weights.
+
+A worker holds ``ARROW_ROWS`` texts and the n-grams of one at a time, 16 bytes
+or so for each of its characters.
 
 Defined results: null and empty texts score as a text without features (the
-intercept); repeated rows score alike; a doc_id labelled more than once
+intercept); a null doc_id is never held out and never learned from; repeated rows score alike; a doc_id labelled more than once
 counts as toxic if any label says so, null labels are ignored; without
 labels of both kinds every score is the share of toxic labels, or 0; an
 empty table gives an empty result; extra columns pass through ``score``
@@ -113,7 +118,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = store(known.where(fold != held_out).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "toxic-labels")
     # At most ``sample`` rows of a few bytes: small whatever the corpus.
-    rows = store(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxic-sample")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # Repeated doc_ids may bring more rows than were chosen; equal rows are taken in one order, so reruns agree.
+    rows = store(rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample).select("text", "toxic"), "toxic-sample")
     total = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = total.get(1, 0), sum(n for k, n in total.items() if k != 1)
     if not pos or not neg:
@@ -138,13 +145,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
 
     def lists(batches):
         for batch in batches:
-            found = [draft.features(t).tolist() for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["toxic", "found"])
+            found = [draft.features(t).astype(np.uint16).tobytes() for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.binary())], names=["toxic", "found"])
+
+    def fitted(batches):
+        toxic, found = [], []
+        for batch in batches:
+            toxic += batch.column(0).to_pylist()
+            found += [np.frombuffer(x, np.uint16).astype(np.int64) for x in batch.column(1).to_pylist()]
+        weight, bias = logistic(found, (np.array(toxic) == 1).astype(float), np.array([r for _, r in top]))
+        yield pa.RecordBatch.from_pydict({"at": pa.array(range(len(weight) + 1), pa.int64()), "weight": pa.array(np.append(weight, bias))})
 
-    got = rows.mapInArrow(lists, "toxic int, found array<long>").toArrow()
-    found = [np.asarray(x, np.int64) for x in got.column("found").to_pylist()]
-    weight, bias = logistic(found, (got.column("toxic").to_numpy() == 1).astype(float), np.array([r for _, r in top]))
-    return Model(draft.bucket, weight, bias)
+    # One task for the bounded sample; in one order, so that sums agree from run to run.
+    got = rows.mapInArrow(lists, "toxic int, found binary").repartition(1).sortWithinPartitions("toxic", "found").mapInArrow(fitted, "at long, weight double").toArrow()
+    weight = got.sort_by("at").column("weight").to_numpy()
+    return Model(draft.bucket, weight[:-1], float(weight[-1]))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -164,4 +179,4 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 def held_out(doc_id: Column) -> Column:
     """Whether a document is in the fold that training leaves out."""
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS)) == 0
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS)) == 0, F.lit(False))

@@ -6,6 +6,7 @@ import math
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -60,7 +61,18 @@ def test_toxicity_learns_and_scores_odd_rows(spark, odd, empty):
     assert toxicity.train(d, spark.createDataFrame([], "doc_id long, toxic int")).score("x") < 1e-9
 
 
+def test_toxicity_on_held_out_rows(spark):
+    """The registered query on whole tables: most toxic rows that training didn't see are caught, and few others."""
+    from terraloom.llm import queries
+
+    sf = "/root/testdata/sf0.1"
+    got = queries.op1_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
+    toxic = got["toxic"] == 1
+    assert toxic.sum() > 50 and got[toxic]["predicted"].mean() > 0.8 and got[~toxic]["predicted"].mean() < 0.02
+
+
 def test_held_out_fold(spark):
+    assert not spark.range(1).select(toxicity.held_out(F.lit(None).cast("long"))).first()[0]
     got = spark.range(50).select("id", toxicity.held_out(F.col("id")).alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 5 == 0) for r in got)
 
@@ -96,6 +108,26 @@ def test_media_columns(odd, empty):
     assert matroska.add_media(empty).count() == 0
 
 
+def test_media_query_against_plain_python(spark):
+    """Every column but feature recomputed from the text; the packets of the stored files cover the padded payload."""
+    from terraloom.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    out = queries.op2_matroska(spark, sf)
+    assert out.columns[:8] == ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert set(got) == set(texts)
+    for i, raw in texts.items():
+        want = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
+        r = got[i]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-16:]))
+        assert f"packets={len(want) // 192};" in r["feature"] and r["media_bytes"] > len(want)
+    files = matroska.store_media(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    table = matroska.packet_table(files).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("length").alias("b"), F.max("timestamp").alias("t")).collect()
+    assert all(r["b"] == got[r["doc_id"]]["payload_bytes"] and r["t"] == 24 * (r["n"] - 1) for r in table)
+
+
 # 3
 def brute_targets(sizes, weights):
     total, open_, out = sum(sizes), set(range(len(sizes))), {}
@@ -499,16 +531,46 @@ def test_packing(odd, empty):
 
 
 def test_pipeline_stages(spark):
+    """Each stage against plain Python on its own input: what it keeps, drops, repeats and packs."""
     import corpus_pipeline
+    from terraloom.llm.common import store
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    names = docs.columns
+    odd = spark.createDataFrame([(9001, None, "en", None, None), (9002, "", "en", "web", 0), (9003, "same words here", "en", "web", 15), (9003, "same words here", "en", "web", 15), (None, "no id at all", "de", "web", 12)], docs.schema)
+    docs, names, seen = store(docs.union(odd), "test-docs"), docs.columns, []
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        from terraloom.llm.common import store
-
         out = store(stage(spark, docs, sf), "test-stage")
-        assert out.count() > 0
         if k < 4:
             assert out.columns == names
+        seen.append(([tuple(r) for r in docs.collect()], [tuple(r) if k < 4 else r for r in out.collect()]))
         docs = out
+    (before, kept), (_, lined), (_, alone), (_, mixed), (_, packed) = seen
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    lost = [r for r in before if r not in kept]
+    assert set(kept) <= set(before) and all(labels.get(r[0], 1) for r in lost)
+    # Lines: what is left is what brute force leaves; rows alike are the same lines.
+    gone = brute_lines(sorted({(r[0], r[1]) for r in kept if r[0] is not None}, key=lambda r: r[0]) + [(10**9, r[1]) for r in kept if r[0] is None])
+    for r in kept:
+        if r[0] is None or r[1] is None:
+            continue
+        cut = [line for i, line in enumerate(r[1].split("\n")) if (r[0], i) not in gone]
+        if len(cut) == len(r[1].split("\n")):
+            assert r in lined
+        elif any(line.strip(" ") for line in cut):
+            assert any(x[0] == r[0] and x[1] == "\n".join(cut) and x[4] == len(x[1]) for x in lined)
+        else:
+            assert all(x[0] != r[0] for x in lined)
+    want, _ = brute_components([(r[0], r[1]) for r in lined if r[0] is not None])
+    assert {r[0] for r in alone} - {None} == {i for i in want if want[i] == i}
+    assert len([r for r in alone if r[0] == 9003]) == 1
+    copies = Counter(mixed)
+    assert set(copies) <= set(alone) and max(copies.values()) <= 3
+    assert Counter(r["doc_id"] for r in packed if r["piece"] == 0) == Counter(r[0] for r in mixed)
+    full = Counter()
+    for r in packed:
+        full[r["sequence_id"]] += r["length"]
+    assert max(full.values()) <= 1024
+    none = spark.createDataFrame([], spark.read.parquet(f"{sf}/documents.parquet").schema)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, sf).count() == 0
