@@ -3,7 +3,8 @@
 A geometry is ``STRUCT<dim, pts, segs, box>``: dimension 0, 1 or 2, its
 vertices (a polygon's ring closed), its segments and its bounding box, all
 built once when a feature is read. Boundaries count as inside, within
-``EPS``. Null geometries give null.
+``EPS``. Null geometries give null. An empty one (no vertices) has a box of
+nulls: predicates with it are false, its distance is infinite, its measures 0.
 """
 
 from __future__ import annotations
@@ -27,11 +28,12 @@ def let(value: Column, body) -> Column:
 
 
 def _closed(dim: Column, pts: Column) -> Column:
-    return F.when((dim == 2) & (F.element_at(pts, 1) != F.element_at(pts, -1)), F.concat(pts, F.slice(pts, 1, 1))).otherwise(pts)
+    return F.when((dim == 2) & (F.size(pts) > 0) & (F.get(pts, F.lit(0)) != F.get(pts, F.size(pts) - 1)), F.concat(pts, F.slice(pts, 1, 1))).otherwise(pts)
 
 
 def _segments(ring: Column) -> Column:
-    return F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1), lambda p, q: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2")))
+    n = F.greatest(F.size(ring) - 1, F.lit(0))
+    return F.zip_with(F.slice(ring, 1, n), F.slice(ring, 2, n), lambda p, q: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2")))
 
 
 def geometry(dim: Column, pts: Column) -> Column:
@@ -47,7 +49,8 @@ def geometry(dim: Column, pts: Column) -> Column:
 
 def boxes_meet(a: Column, b: Column) -> Column:
     p, q = a["box"], b["box"]
-    return (p["x1"] >= q["x0"]) & (q["x1"] >= p["x0"]) & (p["y1"] >= q["y0"]) & (q["y1"] >= p["y0"])
+    met = (p["x1"] >= q["x0"]) & (q["x1"] >= p["x0"]) & (p["y1"] >= q["y0"]) & (q["y1"] >= p["y0"])
+    return F.when(a.isNotNull() & b.isNotNull(), F.coalesce(met, F.lit(False)))
 
 
 def _turn(ax, ay, bx, by, cx, cy) -> Column:
@@ -105,8 +108,9 @@ def st_intersects(a: Column, b: Column) -> Column:
 
     def exact(pair: Column) -> Column:
         low, high = pair["low"], pair["high"]
-        x, y = low["pts"][0]["x"], low["pts"][0]["y"]
-        same = (F.abs(x - high["pts"][0]["x"]) < EPS) & (F.abs(y - high["pts"][0]["y"]) < EPS)
+        x, y = F.get(low["pts"], F.lit(0))["x"], F.get(low["pts"], F.lit(0))["y"]
+        other = F.get(high["pts"], F.lit(0))
+        same = (F.abs(x - other["x"]) < EPS) & (F.abs(y - other["y"]) < EPS)
         inside = (high["dim"] == 2) & _any_vertex_in(low, high)
         return (
             F.when(high["dim"] == 0, same)
@@ -131,7 +135,7 @@ def st_within(a: Column, b: Column) -> Column:
 
 def _vertex(g: Column) -> Column:
     """The first vertex as a geometry of its own."""
-    p = g["pts"][0]
+    p = F.get(g["pts"], F.lit(0))
     box = F.struct(p["x"].alias("x0"), p["y"].alias("y0"), p["x"].alias("x1"), p["y"].alias("y1"))
     return F.struct(F.lit(0).alias("dim"), F.slice(g["pts"], 1, 1).alias("pts"), F.slice(g["segs"], 1, 0).alias("segs"), box.alias("box"))
 
@@ -165,7 +169,7 @@ def st_distance(a: Column, b: Column) -> Column:
     lat = (a["box"]["y0"] + a["box"]["y1"] + b["box"]["y0"] + b["box"]["y1"]) / 4 * _RAD
     east, north = F.cos(lat) * (_RAD * EARTH_M), F.lit(_RAD * EARTH_M)
     each = F.transform(_samples(a), lambda p: F.array_min(F.transform(_samples(b), lambda q: F.hypot((p["x"] - q["x"]) * east, (p["y"] - q["y"]) * north))))
-    return F.coalesce(F.array_min(each), F.lit(float("inf")))
+    return F.when(a.isNotNull() & b.isNotNull(), F.coalesce(F.array_min(each), F.lit(float("inf"))))
 
 
 def st_area(g: Column) -> Column:
@@ -188,7 +192,7 @@ def st_length(g: Column) -> Column:
 
 def st_centroid(g: Column) -> Column:
     """The mean of the vertices; a ring's closing vertex counts again."""
-    mean = lambda k: F.aggregate(g["pts"], F.lit(0.0), lambda acc, p: acc + p[k]) / F.size(g["pts"])
+    mean = lambda k: F.aggregate(g["pts"], F.lit(0.0), lambda acc, p: acc + p[k]) / F.nullif(F.size(g["pts"]), F.lit(0))
     return F.struct(mean("x").alias("x"), mean("y").alias("y"))
 
 
@@ -210,6 +214,48 @@ def st_buffer(g: Column, metres: float, quad_segs: int = 16) -> Column:
     return geometry(F.lit(2), F.concat(ring, F.slice(ring, 1, 1)))
 
 
+GEOJSON = "type string, coordinates string"
+
+
+def from_geojson(text: Column) -> Column:
+    """A geometry from GeoJSON of a Point, LineString or Polygon; a polygon's ring may be bare or nested, only the first counts.
+
+    Null, malformed and other texts give null.
+    """
+    made = F.from_json(text, GEOJSON)
+    kind, raw = made["type"], F.regexp_replace(made["coordinates"], r"\s", "")
+    bare = F.when(raw.startswith("[[["), F.regexp_extract(raw, r"^\[(\[\[.*?\]\])", 1)).when(raw.startswith("[["), raw).otherwise(F.concat(F.lit("["), raw, F.lit("]")))
+    pts = F.transform(F.from_json(F.when(raw == "[]", F.lit("[]")).otherwise(bare), "array<array<double>>"), lambda p: point(F.get(p, F.lit(0)), F.get(p, F.lit(1))))
+    dim = F.when(kind == "Point", 0).when(kind == "LineString", 1).when(kind == "Polygon", 2)
+    return F.when(dim.isNotNull() & pts.isNotNull(), geometry(dim, pts))
+
+
+def to_geojson(g: Column) -> Column:
+    """GeoJSON of a geometry, a polygon's ring nested."""
+    kind = F.element_at(F.array(F.lit("Point"), F.lit("LineString"), F.lit("Polygon")), g["dim"] + 1)
+    each = F.transform(g["pts"], lambda p: F.concat(F.lit("["), p["x"].cast("string"), F.lit(","), p["y"].cast("string"), F.lit("]")))
+    row = F.concat(F.lit("["), F.array_join(each, ","), F.lit("]"))
+    inner = F.when(g["dim"] == 0, F.get(each, F.lit(0))).when(g["dim"] == 1, row).otherwise(F.concat(F.lit("["), row, F.lit("]")))
+    return F.concat(F.lit('{"type":"'), kind, F.lit('","coordinates":'), inner, F.lit("}"))
+
+
+def box_from_csv(text: Column) -> Column:
+    """A box from "x0,y0,x1,y1"; null unless there are four numbers."""
+    v = F.transform(F.split(text, ","), lambda x: x.try_cast("double"))
+    ok = (F.size(v) == 4) & F.forall(v, lambda x: x.isNotNull())
+    return F.when(ok, F.struct(*[F.get(v, F.lit(i)).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))]))
+
+
+def box_to_csv(box: Column) -> Column:
+    return F.concat_ws(",", *[box[n].cast("string") for n in ("x0", "y0", "x1", "y1")])
+
+
+def from_box(box: Column) -> Column:
+    """A box as a polygon of five vertices."""
+    corners = (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"), ("x0", "y0"))
+    return geometry(F.lit(2), F.array(*[point(box[x], box[y]) for x, y in corners]))
+
+
 PREDICATES = {"ST_Intersects": st_intersects, "ST_Contains": st_contains, "ST_Within": st_within, "ST_Touches": st_touches, "ST_Overlaps": st_overlaps}
 
 

@@ -1,8 +1,14 @@
 """Spatial joins over features (id, kind, geom, ...), planned as equi-joins on grid cells.
 
-Each feature goes to the cells its box covers, pairs meet in a cell, and a
-pair that shares several cells counts in the first only, so no distinct is
-needed. The box comparison stands before the exact predicate.
+Cells come in levels, each twice as wide as the one before. A feature is at
+home on the level where its box covers at most two cells a side, and goes to
+the cells it covers there and on every coarser level that some feature is at
+home on; a pair meets on the coarser home of the two. So a long line is a few
+cells, a point doesn't meet all points of a region's cell, and how many rows a
+feature makes doesn't depend on the others' size. A pair that shares several
+cells counts in the first only, so no distinct is needed. The box comparison
+stands before the exact predicates. Hot cells are left to adaptive execution,
+which splits them: no side of these joins needs a cell in one piece.
 """
 
 from __future__ import annotations
@@ -11,34 +17,54 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from terraloom.functions import geometry as g
 
-CELL = 0.5  #: degrees
+CELL = 1 / 16  #: degrees, on level 0
+LEVELS = 14  #: the coarsest level has cells wider than the globe
 
-#: Relation names by predicate; any other predicate gives its own name in lower case.
+#: Relation names by predicate; any other predicate gives its own name in lower case.
 RELATIONS = {"ST_Intersects": "intersects", "ST_Contains": "contains", "ST_Within": "overlies", "ST_Touches": "abuts"}
 
 
-def _cell(v: Column, size: float) -> Column:
-    return F.floor(v / size)
+def _size(level: Column) -> Column:
+    return F.pow(F.lit(2.0), level) * CELL
 
 
-def with_cells(features: DataFrame, size: float = CELL) -> DataFrame:
-    """A row per cell that a feature's box covers: cx, cy."""
-    b = F.col("geom.box")
-    across = F.explode(F.sequence(_cell(b["x0"], size), _cell(b["x1"], size))).alias("cx")
-    up = F.explode(F.sequence(_cell(b["y0"], size), _cell(b["y1"], size))).alias("cy")
-    return features.select("*", across).select("*", up)
+def home(box: Column) -> Column:
+    """The level on which a box covers at most two cells a side."""
+    wide = F.greatest(box["x1"] - box["x0"], box["y1"] - box["y0"]) / CELL
+    return F.least(F.greatest(F.ceil(F.log2(F.greatest(wide, F.lit(1.0)))), F.lit(0)), F.lit(LEVELS)).cast("int")
+
 
+def with_cells(features: DataFrame, levels: Column | None = None) -> DataFrame:
+    """A row per level, home and coarser (or those in ``levels``), and cell that a feature's box covers: level, cx, cy, home.
 
-def spatial_join(left: DataFrame, right: DataFrame, name: str, extra: Column | None = None, size: float = CELL) -> DataFrame:
+    Features without a box (null or empty geometries) have none.
+    """
+    b = F.col("geom.box")
+    above = F.sequence(F.col("home"), F.lit(LEVELS))
+    rows = features.where(F.col("geom.box.x0").isNotNull()).withColumn("home", home(b))
+    rows = rows.withColumn("level", F.explode(above if levels is None else F.array_intersect(above, levels)))
+    size = _size(F.col("level"))
+    across = F.explode(F.sequence(F.floor(b["x0"] / size), F.floor(b["x1"] / size))).alias("cx")
+    up = F.explode(F.sequence(F.floor(b["y0"] / size), F.floor(b["y1"] / size))).alias("cy")
+    return rows.select("*", across).select("*", up)
+
+
+def candidate_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rows, as structs, whose boxes meet."""
+    used = [r[0] for r in left.select("geom").union(right.select("geom")).where(F.col("geom.box.x0").isNotNull()).select(home(F.col("geom.box")).alias("home")).distinct().collect()]  # at most LEVELS + 1
+    levels = F.array(*[F.lit(int(x)) for x in sorted(used)]).cast("array<int>")
+    side = lambda rows, name: with_cells(rows, levels).select("level", "cx", "cy", F.col("home").alias(f"_{name}"), F.struct(*rows.columns).alias(name))
+    p, q, size = F.col("a.geom.box"), F.col("b.geom.box"), _size(F.col("level"))
+    met = (F.greatest("_a", "_b") == F.col("level")) & (F.col("cx") == F.floor(F.greatest(p["x0"], q["x0"]) / size)) & (F.col("cy") == F.floor(F.greatest(p["y0"], q["y0"]) / size))
+    return side(left, "a").join(side(right, "b"), ["level", "cx", "cy"]).where(met & g.boxes_meet(F.col("a.geom"), F.col("b.geom"))).select("a", "b")
+
+
+def spatial_join(left: DataFrame, right: DataFrame, name: str, extra: Column | None = None) -> DataFrame:
     """Pairs (a, b) of rows, as structs, for which the predicate holds."""
-    a = with_cells(left, size).select("cx", "cy", F.struct(*left.columns).alias("a"))
-    b = with_cells(right, size).select("cx", "cy", F.struct(*right.columns).alias("b"))
-    ga, gb = F.col("a.geom"), F.col("b.geom")
-    first = (F.col("cx") == F.greatest(_cell(ga["box"]["x0"], size), _cell(gb["box"]["x0"], size))) & (F.col("cy") == F.greatest(_cell(ga["box"]["y0"], size), _cell(gb["box"]["y0"], size)))
-    rows = a.join(b, ["cx", "cy"]).where(first & g.boxes_meet(ga, gb))
+    rows = candidate_pairs(left, right)
     if extra is not None:
         rows = rows.where(extra)
-    return rows.where(g.predicate(name)(ga, gb)).select("a", "b")
+    return rows.where(g.predicate(name)(F.col("a.geom"), F.col("b.geom")))
 
 
 def neighbors(features: DataFrame, fid: str, name: str = "ST_Intersects", exclude_self: bool = True) -> DataFrame:
@@ -54,6 +80,13 @@ def neighbors(features: DataFrame, fid: str, name: str = "ST_Intersects", exclud
     return rows.select("id", g.st_distance(F.col("_anchor"), F.col("geom")).alias("d")).orderBy("d", "id")
 
 
+def near(features: DataFrame, some: DataFrame, name: str = "ST_Intersects") -> DataFrame:
+    """(src, dst, d) from the features named in ``some`` (id) to all others for which the predicate holds."""
+    slim = features.select("id", "geom")
+    pairs = spatial_join(slim.join(some.select("id").distinct(), "id", "left_semi"), slim, name, F.col("a.id") != F.col("b.id"))
+    return pairs.select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"), g.st_distance(F.col("a.geom"), F.col("b.geom")).alias("d"))
+
+
 def bbox_candidates(features: DataFrame, x0: float, y0: float, x1: float, y1: float) -> DataFrame:
     """Features whose box meets the given one: plain comparisons, pushed to the scan where boxes are stored."""
     b = F.col("geom.box")
@@ -68,11 +101,20 @@ def abuts_edges(features: DataFrame) -> DataFrame:
 
 
 def build_spatial_edges(features: DataFrame, predicates: tuple[str, ...] = ("ST_Intersects", "ST_Contains")) -> DataFrame:
-    """Edges in both directions for pairs a.id < b.id per predicate, and the abuts edges; one row per (src, dst, rel)."""
-    out = abuts_edges(features)
-    slim = features.select("id", "geom")
+    """Edges in both directions for pairs a.id < b.id per predicate, and the abuts edges; one row per (src, dst, rel).
+
+    Pairs are joined once and every predicate is judged on the pair.
+    """
+    a, b = F.col("a.geom"), F.col("b.geom")
+    slim = features.select("id", "kind", "geom")
+    pairs = candidate_pairs(slim, slim).where(F.col("a.id") < F.col("b.id"))
+    edge = lambda s, t, rel: F.struct(F.col(s).alias("src"), F.col(t).alias("dst"), F.lit(rel).alias("rel"))
+    none = F.array().cast("array<struct<src:string,dst:string,rel:string>>")
+    found = []
     for name in predicates:
-        pairs = spatial_join(slim, slim, name, F.col("a.id") < F.col("b.id")).select(F.col("a.id").alias("s"), F.col("b.id").alias("t"))
-        both = pairs.select(F.explode(F.array(F.struct(F.col("s").alias("src"), F.col("t").alias("dst")), F.struct(F.col("t").alias("src"), F.col("s").alias("dst")))).alias("e"))
-        out = out.union(both.select("e.src", "e.dst", F.lit(RELATIONS.get(name, name.lower())).alias("rel"), F.lit(1.0).alias("weight")))
-    return out.groupBy("src", "dst", "rel").agg(F.max("weight").alias("weight"))
+        rel = RELATIONS.get(name, name.lower())
+        found.append(F.when(g.predicate(name)(a, b), F.array(edge("a.id", "b.id", rel), edge("b.id", "a.id", rel))).otherwise(none))
+    for low, high in ("ab", "ba"):
+        rests = F.col(f"{low}.kind").isin("fault", "unit") & (F.col(f"{high}.kind") == "region")
+        found.append(F.when(rests & g.st_intersects(F.col(f"{low}.geom"), F.col(f"{high}.geom")), F.array(edge(f"{low}.id", f"{high}.id", "abuts"))).otherwise(none))
+    return pairs.select(F.explode(F.array_distinct(F.concat(*found))).alias("e")).select("e.src", "e.dst", "e.rel", F.lit(1.0).alias("weight"))

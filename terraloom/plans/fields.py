@@ -12,14 +12,13 @@ from terraloom.sources import fixtures
 from terraloom.sources.fixtures import VERTICES_SQL, table
 
 N = 32
-SCENES = 3
 D = "CAST({} AS double)".format
-_H = f"SELECT sid scene_id, CAST(y AS int) y, CAST(x AS int) x, round(sin({D(0.3)}*x)+cos({D(0.2)}*y)+CAST((x*31+y*17+sid*7)%11 AS double)/20,6) h FROM range({N}) a(y), range({N}) b(x), (SELECT r_regionkey sid FROM region WHERE r_regionkey < {SCENES})"
+_H = f"SELECT sid scene_id, CAST(y AS int) y, CAST(x AS int) x, round(sin({D(0.3)}*x)+cos({D(0.2)}*y)+CAST((x*31+y*17+sid*7)%11 AS double)/20,6) h FROM range({N}) a(y), range({N}) b(x), (SELECT r_regionkey sid FROM region)"
 
 
 def heights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Height fields (scene_id, y, x, h), one per region up to ``SCENES``."""
-    s = table(spark, sf_dir, "region").where(F.col("r_regionkey") < SCENES).select(F.col("r_regionkey").alias("scene_id"))
+    """Height fields (scene_id, y, x, h), one per region."""
+    s = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("scene_id"))
     rows = s.select("scene_id", F.explode(F.sequence(F.lit(0), F.lit(N - 1))).alias("y")).select("scene_id", "y", F.explode(F.sequence(F.lit(0), F.lit(N - 1))).alias("x"))
     bump = ((F.col("x") * 31 + F.col("y") * 17 + F.col("scene_id") * 7) % 11).cast("double") / 20
     return rows.withColumn("h", F.round(F.sin(F.lit(0.3) * F.col("x")) + F.cos(F.lit(0.2) * F.col("y")) + bump, 6))
@@ -107,12 +106,12 @@ def spectral_tilt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.select("u", "v", F.round(raster.spectral_tilt(F.col("u"), F.col("v"), 8, 1.2), 6).alias("tilt"))
 
 
-_PRIOR_IN = f"SELECT id, elevation_m, relief_m, hardness, coalesce(rainfall_mm,520) rainfall_mm, roughness FROM ({_ITEMS}) WHERE elevation_m IS NOT NULL"
+_PRIOR_IN = f"SELECT id, coalesce(elevation_m,1800) elevation_m, coalesce(relief_m,1400) relief_m, hardness, coalesce(rainfall_mm,520) rainfall_mm, roughness FROM ({_ITEMS})"
 
 
 def _prior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    it = items(spark, sf_dir).where("elevation_m IS NOT NULL")
-    return raster.prior(it.select("id", "elevation_m", "relief_m", "hardness", F.coalesce("rainfall_mm", F.lit(520.0)).alias("rainfall_mm"), "roughness"))
+    known = {k: F.coalesce(k, F.lit(raster.DEFAULTS[k])).alias(k) for k in ("elevation_m", "relief_m", "rainfall_mm")}
+    return raster.prior(items(spark, sf_dir).select("id", *known.values(), "hardness", "roughness"))
 
 
 @query(

@@ -34,21 +34,17 @@ def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STOP = "(" + ",".join(f"'{w}'" for w in t.STOPWORDS) + ")"
-FEATURES_SQL = f"""WITH tk AS (SELECT item_id doc_id, {_TOKS.format('text')} ts FROM benchmark),
-tt AS (SELECT doc_id, i, ts[i] tok, ts[i+1] nxt FROM tk, range(1,100000) q(i) WHERE i <= len(ts)),
+FEATURES_SQL = f"""WITH tk AS (SELECT doc_id, {_TOKS.format('text')} ts FROM documents),
+tt AS (SELECT doc_id, i, ts[i] tok, ts[i+1] nxt FROM (SELECT doc_id, ts, unnest(range(1, len(ts)+1)) i FROM tk)),
 sw AS (SELECT *, CASE WHEN tok IN {_STOP} THEN CAST(0.35 AS double) ELSE CAST(1 AS double) END soft FROM tt),
 ft AS (SELECT doc_id, 'w:'||tok f, 2/sqrt(1+ln(CAST(1+i AS double)))*soft w FROM sw
        UNION ALL SELECT doc_id, 'b:'||tok||'_'||nxt, CAST(0.7 AS double)*soft FROM sw WHERE nxt IS NOT NULL
-       UNION ALL SELECT doc_id, 'c:'||substr('^'||tok||'$', j, 3), CAST(0.18 AS double)*soft FROM sw, range(1,200) r(j) WHERE j <= length(tok))"""
-
-
-def _bench_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+       UNION ALL SELECT doc_id, 'c:'||substr('^'||tok||'$', j, 3), CAST(0.18 AS double)*soft FROM (SELECT *, unnest(range(1, length(tok)+1)) j FROM sw))"""
 
 
 @query("ngram_features", FEATURES_SQL + " SELECT doc_id, f, count(*) n, round(sum(w),6) w FROM ft GROUP BY doc_id, f")
 def ngram_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _bench_docs(spark, sf_dir).select("doc_id", F.explode(t.features(F.col("text"))).alias("e"))
+    rows = _docs(spark, sf_dir).select("doc_id", F.explode(t.features(F.col("text"))).alias("e"))
     return rows.groupBy("doc_id", "e.f").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("e.w"), 6).alias("w"))
 
 
@@ -59,12 +55,12 @@ def ngram_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 sm AS (SELECT doc_id, idx, sum(w) v FROM hs GROUP BY doc_id, idx) SELECT doc_id, idx, round(v/sqrt(sum(v*v) OVER (PARTITION BY doc_id)),5)+0.0 v FROM sm""",
 )
 def embed_hash_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.embed_md5(_bench_docs(spark, sf_dir)).select("doc_id", "idx", (F.round("v", 5) + F.lit(0.0)).alias("v"))
+    return text.embed_md5(_docs(spark, sf_dir)).select("doc_id", "idx", (F.round("v", 5) + F.lit(0.0)).alias("v"))
 
 
 @query("embed_hash_blake2b")
 def embed_hash_blake2b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.embed_blake2b(_bench_docs(spark, sf_dir))
+    return text.embed_blake2b(_docs(spark, sf_dir))
 
 
 _PROPS = "SELECT s_suppkey id, CAST(s_suppkey*37 % 6000 AS double) elevation_m, CAST(s_suppkey*11 % 10 AS double) hardness, CASE WHEN s_suppkey % 3 = 0 THEN CAST(s_suppkey*13 % 4000 AS double) END transmissivity, CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey*7 % 2000 AS double) END permeability FROM supplier"

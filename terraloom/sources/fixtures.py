@@ -15,6 +15,10 @@ def _milli(key: str, times: int, modulo: int):
     return (F.col(key).cast("long") * times % modulo).cast("double") / 1000
 
 
+def _milli_of(value, modulo: int):
+    return (value.cast("long") % modulo).cast("double") / 1000
+
+
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boreholes from suppliers: id, name, kind, geom."""
     x, y = 71 + _milli("s_suppkey", 7919, 6000), 31 + _milli("s_suppkey", 104729, 5000)
@@ -40,11 +44,14 @@ def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Faults from every twentieth part: lines of three vertices."""
-    x, y = 71 + _milli("p_partkey", 389, 5500), 31 + _milli("p_partkey", 577, 4500)
-    dx, dy = 0.1 + _milli("p_partkey", 53, 400), _milli("p_partkey", 71, 600) - 0.3
-    pts = F.array(g.point(x, y), g.point(x + dx, y + dy), g.point(x + 2 * dx, y + dy / 2))
-    return table(spark, sf_dir, "part").where(F.col("p_partkey") % 20 == 0).select(F.concat(F.lit("flt-"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("name"), F.lit("fault").alias("kind"), F.lit(1).alias("dim"), pts.alias("pts"))
+    """Faults from parts: five of them in a row are the vertices of a line."""
+    p, k = F.col("p_partkey"), F.col("p_partkey") % 5
+    f = (p - k) / 5
+    x = 71 + _milli_of(f * 389, 5500) + k * F.lit(0.1) + _milli_of(p * 53, 100)
+    y = 31 + _milli_of(f * 577, 4500) + _milli_of(p * 71, 300) - F.lit(0.15)
+    rows = table(spark, sf_dir, "part").select(F.expr("p_partkey div 5").alias("f"), "p_name", k.alias("k"), g.point(x, y).alias("p"))
+    lines = rows.groupBy("f").agg(F.min_by("p_name", "k").alias("name"), F.array_sort(F.collect_list(F.struct("k", "p"))).alias("v"))  # five at most
+    return lines.select(F.concat(F.lit("flt-"), F.col("f").cast("string")).alias("id"), "name", F.lit("fault").alias("kind"), F.lit(1).alias("dim"), F.transform("v", lambda v: v["p"]).alias("pts"))
 
 
 _KINDS = {"borehole": _points, "unit": _polygons, "region": _regions, "fault": _lines}
@@ -65,11 +72,10 @@ v AS (
   SELECT concat('sup-', CAST(s_suppkey AS varchar)) id, 'borehole' kind, 0 dim, 0 k,
          71 + CAST(s_suppkey*7919 % 6000 AS double)/1000 x, 31 + CAST(s_suppkey*104729 % 5000 AS double)/1000 y FROM supplier
   UNION ALL
-  SELECT concat('flt-', CAST(p AS varchar)), 'fault', 1, c.k, x + c.fx*dx, y + c.fy*dy
-  FROM (SELECT p_partkey p, 71 + CAST(p_partkey*389 % 5500 AS double)/1000 x, 31 + CAST(p_partkey*577 % 4500 AS double)/1000 y,
-               CAST(0.1 AS double) + CAST(p_partkey*53 % 400 AS double)/1000 dx, CAST(p_partkey*71 % 600 AS double)/1000 - CAST(0.3 AS double) dy
-        FROM part WHERE p_partkey % 20 = 0) f
-       CROSS JOIN (SELECT k, CAST(fx AS double) fx, CAST(fy AS double) fy FROM (VALUES (0,0.0,0.0),(1,1.0,1.0),(2,2.0,0.5)) t(k,fx,fy)) c
+  SELECT concat('flt-', CAST(f AS varchar)), 'fault', 1, CAST(p % 5 AS int),
+         71 + CAST(f*389 % 5500 AS double)/1000 + (p % 5)*CAST(0.1 AS double) + CAST(p*53 % 100 AS double)/1000,
+         31 + CAST(f*577 % 4500 AS double)/1000 + CAST(p*71 % 300 AS double)/1000 - CAST(0.15 AS double)
+  FROM (SELECT p_partkey p, p_partkey // 5 f FROM part) q
   UNION ALL
   SELECT r.id, r.kind, 2, c.k, cx + hw*c.ox, cy + hh*c.oy
   FROM (SELECT concat('nat-', CAST(n_nationkey AS varchar)) id, 'unit' kind,
