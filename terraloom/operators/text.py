@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from terraloom.functions import text as t
 
@@ -16,7 +17,7 @@ DIM = 1536
 def chunk_table(docs: DataFrame, size: int = t.CHUNK) -> DataFrame:
     """(chunk_id, doc_id, pos, text) of ``docs`` (doc_id, text)."""
     rows = docs.select("doc_id", F.posexplode(t.chunks(F.col("text"), size)).alias("pos", "text"))
-    return rows.select(F.format_string("%d#c%02d", "doc_id", "pos").alias("chunk_id"), "doc_id", "pos", "text")
+    return rows.select(F.concat(F.col("doc_id").cast("string"), F.format_string("#c%02d", "pos")).alias("chunk_id"), "doc_id", "pos", "text")
 
 
 def embed_md5(docs: DataFrame, dim: int = DIM) -> DataFrame:
@@ -35,22 +36,28 @@ def blake_embed(texts: list[str], dim: int = DIM) -> np.ndarray:
     import re
 
     stop = frozenset(t.STOPWORDS)
-    out = np.zeros((len(texts), dim), np.float32)
-
-    def put(row: int, name: str, w: float) -> None:
-        h = int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little")
-        out[row, h % dim] += w if h >> 63 else -w
-
+    rows: list[int] = []
+    names: list[str] = []
+    weights: list[float] = []
     for row, text in enumerate(texts):
         toks = re.findall("[a-z0-9]+", (text or "").lower())
-        for i, tok in enumerate(toks):
-            soft = 0.35 if tok in stop else 1.0
-            put(row, f"w:{tok}", 2 / math.sqrt(1 + math.log1p(i + 1)) * soft)
-            if i + 1 < len(toks):
-                put(row, f"b:{tok}_{toks[i + 1]}", 0.7 * soft)
+        soft = [0.35 if tok in stop else 1.0 for tok in toks]
+        here = [f"w:{tok}" for tok in toks] + [f"b:{x}_{y}" for x, y in zip(toks, toks[1:])]
+        w = [2 / math.sqrt(1 + math.log1p(i + 1)) * s for i, s in enumerate(soft)] + [0.7 * s for s in soft[: max(0, len(toks) - 1)]]
+        for tok, s in zip(toks, soft):
             edge = f"^{tok}$"
-            for j in range(len(edge) - 2):
-                put(row, f"c:{edge[j : j + 3]}", 0.18 * soft)
+            here += [f"c:{edge[j : j + 3]}" for j in range(len(edge) - 2)]
+            w += [0.18 * s] * (len(edge) - 2)
+        names += here
+        weights += w
+        rows += [row] * len(here)
+    # Each distinct feature is hashed once.
+    known: dict[str, int] = {}
+    at = np.fromiter((known.setdefault(n, len(known)) for n in names), np.int64, len(names))
+    h = np.array([int.from_bytes(hashlib.blake2b(n.encode(), digest_size=8).digest(), "little") for n in known], np.uint64)
+    sign = np.where(h >> np.uint64(63), 1.0, -1.0)
+    spot = np.array(rows, np.int64) * dim + (h % np.uint64(dim)).astype(np.int64)[at] if names else np.empty(0, np.int64)
+    out = np.bincount(spot, np.array(weights) * sign[at], len(texts) * dim).reshape(len(texts), dim).astype(np.float32) if names else np.zeros((len(texts), dim), np.float32)
     length = np.linalg.norm(out, axis=1, keepdims=True)
     return np.divide(out, length, out=out, where=length > 0)
 
@@ -68,11 +75,23 @@ def embed_blake2b(docs: DataFrame, dim: int = DIM) -> DataFrame:
 
 def bm25(docs: DataFrame, query: str, columns: tuple[str, ...] = ("text",), key: str = "doc_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(key, score) of rows that hold any query word; repeated words count again, rare ones at least 1e-6."""
-    terms = [w.lower() for w in t.query_terms(query)]
-    toks = F.concat(*[t.tokens(F.coalesce(F.col(c), F.lit(""))) for c in columns])
-    rows = docs.select(key, toks.alias("toks")).select(key, F.size("toks").cast("double").alias("dl"), F.filter("toks", lambda x: x.isin(*set(terms))).alias("hits"))
+    terms = [t.bare(w) for w in t.query_terms(query)]
+    toks = F.concat(*[t.words(F.coalesce(F.col(c), F.lit(""))) for c in columns])
+    which = lambda x: F.coalesce(*[F.when(t.matches(x, w), w) for w in sorted(set(terms))], F.lit(None).cast("string"))
+    hits = F.filter(F.transform("toks", which), lambda x: x.isNotNull())
+    rows = docs.select(key, toks.alias("toks")).select(key, F.size("toks").cast("double").alias("dl"), hits.alias("hits"))
+    return scored(rows, terms, key, k1, b)
+
+
+def scored(rows: DataFrame, terms: list[str], key: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(key, score) of rows (key, dl, hits): a text's length in words and the query words in it."""
     stats = rows.agg(F.count(F.lit(1)).cast("double").alias("nd"), F.avg("dl").alias("avgdl"))
     tf = rows.where(F.size("hits") > 0).select(key, "dl", F.explode("hits").alias("term")).groupBy(key, "dl", "term").agg(F.count(F.lit(1)).cast("double").alias("f"))
+    return weighed(tf, stats, terms, key, k1, b)
+
+
+def weighed(tf: DataFrame, stats: DataFrame, terms: list[str], key: str, k1: float, b: float) -> DataFrame:
+    """BM25 of (key, dl, term, f) with one row of stats (nd, avgdl)."""
     df = tf.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("n"))  # at most as many rows as query words
     times = F.element_at(F.create_map(*[x for w in sorted(set(terms)) for x in (F.lit(w), F.lit(float(terms.count(w))))]), F.col("term"))
     rows = tf.join(F.broadcast(df), "term").join(F.broadcast(stats))
@@ -81,5 +100,57 @@ def bm25(docs: DataFrame, query: str, columns: tuple[str, ...] = ("text",), key:
     return rows.groupBy(key).agg(F.sum(part * times).alias("score"))
 
 
+SHARDS = 64  #: of an index, by word
+
+
+def build_index(docs: DataFrame, path: str, columns: tuple[str, ...] = ("text",), key: str = "doc_id") -> None:
+    """A full-text index under ``path``: postings (word, key, f) by shard of the word, and lengths (key, dl)."""
+    toks = F.concat(*[t.words(F.coalesce(F.col(c), F.lit(""))) for c in columns])
+    rows = docs.select(F.col(key).alias("key"), toks.alias("toks"))
+    rows.select("key", F.size("toks").cast("double").alias("dl")).write.mode("overwrite").parquet(f"{path}/lengths")
+    words = rows.select("key", F.explode("toks").alias("word")).groupBy("word", "key").agg(F.count(F.lit(1)).cast("double").alias("f"))
+    # A word's shard goes by its plain form, so that accents don't part it.
+    words.withColumn("shard", F.pmod(F.crc32(F.substring("word", 1, 1).cast("binary")), F.lit(SHARDS)).cast("int")).repartition("shard", "word").sortWithinPartitions("word").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/postings")
+
+
+def search_index(spark, path: str, query: str, key: str = "doc_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(key, score) like ``bm25``, from a stored index: only the shards of the query's first letters are read."""
+    import zlib
+
+    terms = [t.bare(w) for w in t.query_terms(query)]
+    firsts = {c for w in terms for c in t._accented().get(w[:1], w[:1])}
+    shards = sorted({zlib.crc32(c.encode()) % SHARDS for c in firsts})
+    post = spark.read.parquet(f"{path}/postings").where(F.col("shard").isin(shards))
+    which = F.coalesce(*[F.when(t.matches(F.col("word"), w), w) for w in sorted(set(terms))], F.lit(None).cast("string"))
+    found = post.select("key", which.alias("term"), "f").where(F.col("term").isNotNull())
+    lengths = spark.read.parquet(f"{path}/lengths")
+    tf = found.groupBy("key", "term").agg(F.sum("f").alias("f")).join(lengths, "key")
+    return weighed(tf.withColumnRenamed("key", key), lengths.agg(F.count(F.lit(1)).cast("double").alias("nd"), F.avg("dl").alias("avgdl")), terms, key, k1, b)
+
+
+#: Embedders by name: texts and a width to unit vectors. Those behind a network need a client that isn't here.
+EMBEDDERS = {"local": blake_embed}
+
+
+def embedder(name: str = "local", dim: int = DIM):
+    """A function of texts to vectors."""
+    if name not in EMBEDDERS:
+        raise ValueError(f"embedder {name!r} isn't available; one of {', '.join(EMBEDDERS)}")
+    return partial(EMBEDDERS[name], dim=dim)
+
+
+def embedded(rows: DataFrame, embed, text: str = "text") -> DataFrame:
+    """``rows`` with the embedding of their ``text``."""
+    kept = [f for f in rows.schema.fields if f.name != "embedding"]
+    at = [f.name for f in kept].index(text)
+
+    def run(batches):
+        for batch in batches:
+            m = embed([x or "" for x in batch.column(at).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(m), pa.list_(pa.float32()))], names=[f.name for f in kept] + ["embedding"])
+
+    return rows.select(*[f.name for f in kept]).mapInArrow(run, T.StructType([*kept, T.StructField("embedding", T.ArrayType(T.FloatType()))]))
+
+
 def top(ranking: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
     return ranking.orderBy(F.desc("score"), key).limit(k)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from terraloom.functions import text as t
+from terraloom.functions import props, text as t
 from terraloom.operators import fusion, text, vector
 from terraloom.plans.catalog import query
 from terraloom.sources.fixtures import table
@@ -63,27 +63,25 @@ def embed_hash_blake2b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.embed_blake2b(_docs(spark, sf_dir))
 
 
-_PROPS = "SELECT s_suppkey id, CAST(s_suppkey*37 % 6000 AS double) elevation_m, CAST(s_suppkey*11 % 10 AS double) hardness, CASE WHEN s_suppkey % 3 = 0 THEN CAST(s_suppkey*13 % 4000 AS double) END transmissivity, CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey*7 % 2000 AS double) END permeability FROM supplier"
+_PROPS = "SELECT s_suppkey id, CAST(s_suppkey*37 % 6000 AS double) elevation_m, CAST(s_suppkey*11 % 10 AS double) hardness, CASE WHEN s_suppkey % 3 = 0 THEN CAST(s_suppkey*13 % 4000 AS double) END transmissivity, CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey*7 % 2000 AS double) END permeability, CASE WHEN s_suppkey % 5 > 0 THEN CAST(s_suppkey*17 % 9000 AS double) END vp FROM supplier"
+_BACK = "coalesce(permeability,0)"
 
 
 @query(
     "props_vector",
-    f"WITH p AS ({_PROPS}) SELECT id, round(least(greatest(elevation_m/6000,0),2),6) elevation, round(least(greatest(hardness/10,0),2),6) hardness, round(least(greatest(coalesce(permeability,0)*(CAST(1 AS double)/3500),0),2),6) relief, round(least(greatest(coalesce(transmissivity,permeability,0)/1500,0),2),6) perm FROM p",
+    f"WITH p AS ({_PROPS}) SELECT id, round(least(greatest(elevation_m/6000,0),2),6) elevation_m, round(least(greatest({_BACK}/3500,0),2),6) relief_m, round(least(greatest(hardness/10,0),2),6) hardness, round(least(greatest({_BACK}/1200,0),2),6) rainfall_mm, round(least(greatest({_BACK}/8,0),2),6) uplift_mm_yr, round(least(greatest({_BACK},0),2),6) roughness, round(least(greatest(coalesce(vp,permeability,0)/7000,0),2),6) vp_ms, round(least(greatest(coalesce(transmissivity,permeability,0)/1500,0),2),6) perm_mD FROM p",
 )
 def props_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scaled properties; a missing one falls back on permeability."""
+    """All eight scaled properties; a missing one falls back on permeability."""
     table(spark, sf_dir, "supplier").createOrReplaceTempView("supplier")
-    p = spark.sql(_PROPS)
-    held = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(2.0))
-    back = F.coalesce("permeability", F.lit(0.0))
-    return p.select(
-        "id", F.round(held(F.col("elevation_m") / 6000), 6).alias("elevation"), F.round(held(F.col("hardness") / 10), 6).alias("hardness"),
-        F.round(held(back * (1.0 / 3500)), 6).alias("relief"), F.round(held(F.coalesce("transmissivity", back) / 1500), 6).alias("perm"),
-    )
+    names = {"elevation_m": "elevation_m", "hardness": "hardness", "transmissivity_mDm": "transmissivity", "permeability_mD": "permeability", "vp_ms": "vp"}
+    held = F.create_map(*[x for k, c in names.items() for x in (F.lit(k), F.col(c))])
+    rows = spark.sql(_PROPS).select("id", props.vector(held).alias("v"))
+    return rows.select("id", *[F.round(F.col("v")[i], 6).alias(k) for i, k in enumerate(props.PROP_KEYS)])
 
 
 QUERY = "the on le the"
-BM25_SQL = f"""WITH tk AS (SELECT doc_id, {_TOKS.format("text")} ts FROM documents),
+BM25_SQL = r"""WITH tk AS (SELECT doc_id, list_transform(regexp_extract_all(lower(text),'[\p{L}\p{M}\p{N}]+'), lambda x: strip_accents(x)) ts FROM documents),
 nm AS (SELECT CAST(count(*) AS double) nd, avg(CAST(len(ts) AS double)) avgdl FROM tk),
 tf AS (SELECT doc_id, dl, term, CAST(count(*) AS double) f FROM (SELECT doc_id, CAST(len(ts) AS double) dl, unnest(ts) term FROM tk) WHERE term IN ('the','on','le') GROUP BY ALL),
 df AS (SELECT term, CAST(count(*) AS double) n FROM tf GROUP BY term),

@@ -7,6 +7,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from terraloom.operators.graph import upsert
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder and read from there, so that what uses it twice doesn't run it twice.
+
+    Without a checkpoint folder it stays as it is.
+    """
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+
+
 def upsert_features(table: DataFrame, rows: DataFrame) -> DataFrame:
     """``table`` with ``rows`` (same columns) put in by id; what is written last stays."""
     both = table.withColumn("_seq", F.lit(0)).unionByName(rows.withColumn("_seq", F.lit(1)))
