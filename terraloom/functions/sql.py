@@ -24,7 +24,9 @@ FUNCTIONS = {name: (f, 2, "BOOLEAN") for name, f in g.PREDICATES.items()} | {
 
 def text_of(c: Column) -> str:
     """SQL that parses to the expression."""
-    return _OPERATOR.sub(r"`\1`(", c._jc.node().sql())
+    found = _OPERATOR.sub(r"`\1`(", c._jc.node().sql())
+    found = re.sub(r"\bInfinity\b", "CAST('Infinity' AS DOUBLE)", found)
+    return re.sub(r"(?<![\w.'])(\d+\.\d+)(?![\w.])", r"\1D", found)  # else they would be decimals
 
 
 def register(spark: SparkSession) -> list[str]:

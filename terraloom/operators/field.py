@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+# Solver names and, below, the default coefficients of each.
 SOLVERS = ("hydraulic", "thermal", "seismic", "diffusion")
 #: The eight neighbours (dy, dx), in the order in which equal drops are tried.
 AROUND = ((-1, 0), (1, 0), (0, 1), (0, -1), (-1, 1), (-1, -1), (1, 1), (1, -1))
@@ -151,77 +152,54 @@ def diffusion(h: np.ndarray, steps: int, nu: float = 0.08) -> np.ndarray:
     return np.fft.ifft2(np.exp(-nu * 0.1 * steps * (ky[:, None] ** 2 + kx[None] ** 2)) * np.fft.fft2(h)).real
 
 
+def _spline(a: np.ndarray) -> np.ndarray:
+    """Coefficients of the cubic B-spline through the rows of ``a``, mirrored at both ends."""
+    n = len(a)
+    if n == 1:
+        return a
+    m = np.diag(np.full(n, 4.0)) + np.diag(np.ones(n - 1), 1) + np.diag(np.ones(n - 1), -1)
+    m[0, 1] = m[-1, -2] = 2.0
+    return np.linalg.solve(m / 6, a)
+
+
 def upsample(h: np.ndarray, rows: int, cols: int) -> np.ndarray:
-    """Cubic resampling to (rows, cols), corners kept."""
+    """Resampling to (rows, cols) by the interpolating cubic spline, corners kept."""
 
     def along(a: np.ndarray, n: int) -> np.ndarray:
         m = len(a)
         if m == n:
             return a
+        c = _spline(a)
         at = np.linspace(0, m - 1, n)
         i = np.clip(at.astype(int), 0, max(m - 2, 0))
         t = (at - i)[:, None]
-        p = [a[np.clip(i + k, 0, m - 1)] for k in (-1, 0, 1, 2)]
-        return p[1] + 0.5 * t * (p[2] - p[0] + t * (2 * p[0] - 5 * p[1] + 4 * p[2] - p[3] + t * (3 * (p[1] - p[2]) + p[3] - p[0])))
+        # The four B-splines that reach a place between i and i + 1.
+        weight = ((1 - t) ** 3 / 6, (3 * t**3 - 6 * t**2 + 4) / 6, (-3 * t**3 + 3 * t**2 + 3 * t + 1) / 6, t**3 / 6)
+        mirrored = lambda k: np.where(k < 0, -k, np.where(k > m - 1, 2 * (m - 1) - k, k)) if m > 1 else np.zeros_like(k)
+        return sum(w * c[mirrored(i + k)] for w, k in zip(weight, (-1, 0, 1, 2)))
 
     return along(along(h, rows).T, cols).T
 
 
-def per_scene(field: DataFrame, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """``f`` of every scene's array, scenes in parallel."""
+def per_scene(field: DataFrame, f: Callable[..., np.ndarray], *more: str) -> DataFrame:
+    """``f`` of every scene's array of h (and of the columns ``more``), scenes in parallel."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        h = rows.pivot(index="y", columns="x", values="h").to_numpy()
-        out = f(h)
+        # One place for each cell: sorting rows is cheaper than pivoting them.
+        rows = rows.sort_values(["y", "x"])
+        shape = rows["y"].nunique(), rows["x"].nunique()
+        out = f(*[rows[c].to_numpy(float).reshape(shape) for c in ("h", *more)])
         y, x = np.mgrid[: out.shape[0], : out.shape[1]]
         return pd.DataFrame({"scene_id": rows["scene_id"].iloc[0], "y": y.ravel(), "x": x.ravel(), "h": out.ravel()})
 
-    return field.select("scene_id", "y", "x", "h").groupBy("scene_id").applyInPandas(run, f"scene_id {field.schema['scene_id'].dataType.simpleString()}, y int, x int, h double")
+    return field.select("scene_id", "y", "x", "h", *more).groupBy("scene_id").applyInPandas(run, f"scene_id {field.schema['scene_id'].dataType.simpleString()}, y int, x int, h double")
 
 
 def solve(field: DataFrame, name: str, steps: int, **params: float) -> DataFrame:
-    """Run a solver by name on every scene."""
+    """Run a solver by name on every scene; a column ``hardness`` of ``field`` goes to the hydraulic one."""
     if name not in SOLVERS:
         raise ValueError(f"unknown solver {name!r}; one of {', '.join(SOLVERS)}")
     f = {"hydraulic": hydraulic, "thermal": thermal, "seismic": seismic, "diffusion": diffusion}[name]
+    if name == "hydraulic" and "hardness" in field.columns:
+        return per_scene(field, lambda h, hard: f(h, steps, hardness=hard, **params), "hardness")
     return per_scene(field, lambda h: f(h, steps, **params))
-
-
-class SpectralOperator:
-    """A Fourier neural operator on square fields: lift, spectral layers with a skip, project. Inference by NumPy FFT."""
-
-    def __init__(self, modes: int = 8, width: int = 16, layers: int = 4, seed: int = 7):
-        rng = np.random.default_rng(seed)
-        self.modes, self.width = modes, width
-        self.lift = rng.normal(size=(3, width)) / np.sqrt(3), np.zeros(width)
-        scale = 1 / (width * width)
-        self.spectral = [scale * (rng.normal(size=(2 * modes, 2 * modes, width, width)) + 1j * rng.normal(size=(2 * modes, 2 * modes, width, width))) for _ in range(layers)]
-        self.skip = [(rng.normal(size=(width, width)) / np.sqrt(width), np.zeros(width)) for _ in range(layers)]
-        self.project = rng.normal(size=(width, 1)) / np.sqrt(width), np.zeros(1)
-
-    def forward(self, h: np.ndarray) -> np.ndarray:
-        """The predicted change of a field."""
-        n = h.shape[0]
-        if h.shape != (n, n) or n < 2 * self.modes:
-            raise ValueError("a square field of at least twice the modes is needed")
-        y, x = np.meshgrid(np.linspace(0, 1, n), np.linspace(0, 1, n), indexing="ij")
-        a = np.stack([h, y, x], -1) @ self.lift[0] + self.lift[1]
-        low = np.r_[0 : self.modes, n - self.modes : n]
-        for w, (skip, bias) in zip(self.spectral, self.skip):
-            f = np.fft.fft2(a, axes=(0, 1))
-            out = np.zeros_like(f)
-            out[np.ix_(low, low)] = np.einsum("yxi,yxio->yxo", f[np.ix_(low, low)], w)
-            z = np.fft.ifft2(out, axes=(0, 1)).real + a @ skip + bias
-            a = 0.5 * z * (1 + np.tanh(np.sqrt(2 / np.pi) * (z + 0.044715 * z**3)))
-        return (a @ self.project[0] + self.project[1])[..., 0]
-
-    def rollout(self, h: np.ndarray, steps: int) -> np.ndarray:
-        for _ in range(steps):
-            h = h + self.forward(h) / 100
-        return h
-
-
-def operator_rollout(field: DataFrame, steps: int = 1, **shape: int) -> DataFrame:
-    """Roll every scene forward by the seeded operator."""
-    net = SpectralOperator(**shape)
-    return per_scene(field, lambda h: net.rollout(h, steps))

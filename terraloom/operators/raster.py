@@ -92,6 +92,43 @@ def blend(raster: DataFrame, attrs: DataFrame, channels: tuple[str, ...] = tuple
     return rows.select("cy", "cx", *[(local(c) * share + F.col(f"_{c}") * (1 - share)).alias(c) for c in channels], share.alias("weight"))
 
 
+CHANNELS = ("elevation", "relief", "hardness", "rainfall", "uplift", "roughness", "weight")
+
+
+def angles(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """Polar and azimuthal angle of the direction that lies ``lon`` and ``lat`` degrees from the middle of a map."""
+    dlon, dlat = F.radians(lon), F.radians(lat)
+    return direction_angles(F.cos(dlat) * F.sin(dlon), -F.cos(dlat) * F.cos(dlon), F.sin(dlat))
+
+
+def direction_angles(x: Column, y: Column, z: Column) -> tuple[Column, Column]:
+    """Polar and azimuthal angle of a direction of any length but zero."""
+    length = F.sqrt(x * x + y * y + z * z)
+    return F.acos(F.least(F.greatest(z / length, F.lit(-1.0)), F.lit(1.0))), F.atan2(y, x)
+
+
+def conditioning(items: DataFrame, n: int = 32, degree: int = 4) -> tuple[DataFrame, dict]:
+    """What retrieved ``items`` (score, geom, attributes) say of a terrain: a raster of ``CHANNELS`` by (cy, cx), and its description.
+
+    The elevation channel is what spherical harmonics up to ``degree``, fitted
+    by least squares around the middle of the extent, make of it.
+    """
+    attrs = weighted_attrs(items)
+    grid = blend(influence(items, n), attrs)
+    frame = extent(items)
+    x0, y0, x1, y1 = frame.first()  # one row
+    step = max(n - 1, 1)
+    theta, phi = angles((F.col("cx") / step - 0.5) * (x1 - x0), (F.col("cy") / step - 0.5) * (y1 - y0))
+    names = [f"_y{k}" for k in range((degree + 1) ** 2)]
+    rows = grid.select("*", *[c.alias(k) for k, c in zip(names, harmonics(theta, phi, degree).values())])
+    coefficients = fit(rows, names, "elevation_m")
+    smooth = sum((F.col(k) * float(c) for k, c in zip(names, coefficients)), F.lit(0.0))
+    own = [F.col(c) for c in DEFAULTS][1:]
+    out = rows.select("cy", "cx", smooth.alias("elevation"), *[c.alias(k) for c, k in zip(own, CHANNELS[1:])], "weight")
+    known = attrs.join(grid.agg(F.avg("weight").alias("influence_weight"))).first().asDict()
+    return out, {"attrs": known, "extent": (x0, y0, x1, y1), "shape": (len(CHANNELS), n, n), "channels": CHANNELS, "sh_degree": degree, "sh_coeffs": coefficients.tolist(), "influences": items.count()}
+
+
 def harmonics(theta: Column, phi: Column, degree: int) -> dict[tuple[int, int], Column]:
     """Real orthonormal spherical harmonics by (l, m), Condon-Shortley phase included."""
     x, s = F.cos(theta), F.abs(F.sin(theta))

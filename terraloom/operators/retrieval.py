@@ -76,7 +76,7 @@ def retrieve(features: DataFrame, hits: DataFrame, nodes: DataFrame, top_k: int
         fused = fused.withColumn("score", F.round("score", digits + 6))
     fused = fused.orderBy(F.desc("score"), "id").limit(top_k)
     known = features.drop("text").join(fused.select("id"), "id", "left_semi")
-    fused = fused.join(known, "id", "left").withColumn("name", F.coalesce("name", "id")).withColumn("kind", F.coalesce("kind", F.lit("unknown")))
+    fused = fused.join(known, "id", "left").withColumn("name", F.coalesce("name", "id")).withColumn("kind", F.coalesce("kind", F.lit("unknown"))).orderBy(F.desc("score"), "id")
     return Grounding(hits.where(F.col("_nth") <= 2 * top_k).drop("_nth"), rankings, fused)
 
 

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from terraloom.operators import field, mesh, raster
+from terraloom.operators import field, mesh, neural, raster
 from terraloom.plans.catalog import query
 from terraloom.sources import fixtures
 from terraloom.sources.fixtures import VERTICES_SQL, table
@@ -204,7 +204,7 @@ def upsample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("fno_rollout")
 def fno_rollout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return field.operator_rollout(heights(spark, sf_dir), 2)
+    return neural.rollout(heights(spark, sf_dir), neural.Operator.seeded(), 2)
 
 
 # An octahedron per region, its size and place from the key, and for odd keys without its last face.

@@ -117,11 +117,6 @@ def test_thermal_creep_keeps_mass_and_lowers_peaks():
     assert out.sum() == pytest.approx(1) and out[4, 4] < 1 and field.thermal(h, 1, compat=True)[4, 4] > 1
 
 
-def test_spectral_operator_needs_room():
-    with pytest.raises(ValueError):
-        field.SpectralOperator(modes=8).forward(np.zeros((8, 8)))
-
-
 def test_tetrahedra_close_a_sphere():
     x = np.stack(np.meshgrid(*[np.arange(12)] * 3, indexing="ij"), -1) - 5.5
     f = np.linalg.norm(x, axis=-1) - 3.7
