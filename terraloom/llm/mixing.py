@@ -200,6 +200,7 @@ def mix(docs: DataFrame, seed: str = "mix", max_epochs: int = 3, odds: Column |
     rows = ranks(small if slim else docs.withColumn("_odds", _rounded(weight.cast("double"))))
     # The words of a draw, where rows repeat.
     alike = draws.where(F.col("words") > F.col("size")).select(F.col("source").alias("_s1"), F.col("doc_id").alias("_s2"), F.col("size").alias("_s3"), "words")
+    alike = store(alike, "mix-alike")  # stored, so Spark knows that it is small where few rows repeat, and leaves texts where they are
     rows = rows.join(alike, rows["source"].eqNullSafe(F.col("_s1")) & rows["doc_id"].eqNullSafe(F.col("_s2")) & (rows["size"] == F.col("_s3")), "left")
     rows = rows.withColumn("_words", F.coalesce("words", "size")).drop("_s1", "_s2", "_s3", "words")
     out = by_source(rows, edges, "left")
