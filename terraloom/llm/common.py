@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Words everywhere in this subpackage: runs of anything but ASCII white space.
@@ -24,6 +27,13 @@ def tune(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def tidy() -> None:
+    """Give memory that a worker has freed back to the system: workers live on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where there is such a call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _local_shared: str | None = None
 
 

@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from terraloom.llm.common import store, tune
+from terraloom.llm.common import store, tidy, tune
 
 WORDS = 5
 #: Similarity as a fraction: linked if DEN * both >= NUM * either.
@@ -129,6 +129,7 @@ def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 codes = shingle_codes(text, words)
                 rows.append((doc, len(codes), *(print_of(codes) if len(codes) else (None, None))))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 4)], names=["doc_id", "n_shingles", "p1", "p2"])
+        tidy()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, p1 long, p2 long")
 
@@ -218,6 +219,8 @@ def cells(docs: DataFrame, shingles: int, num: int = NUM, den: int = DEN, words:
                 total += len(codes)
         if texts:
             yield close()
+        texts.clear()
+        tidy()
 
     def counted(table: pa.Table) -> pa.Table:
         """How many sets hold each code of a range, back to the units that asked."""

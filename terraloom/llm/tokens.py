@@ -18,11 +18,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from terraloom.llm.common import tidy
+
 #: Odd white space, control, combining and joining characters, and starts of special tokens.
 _ODD = "[\x00-\x09\x0b-\x1f\x7f-\xa0̀-ͯᄀ-ᇿ ᠎ -‏ -  -⁤　゙゚﻿]|  |\n\n| \n|\n |<\\||\\A[ \n]|[ \n]\\z"
 #: Marks that may follow a word; none starts a contraction.
 _MARKS = ".,;:!?%*&$#|"
-_MOST = 1_000_000  #: pieces a worker keeps
+_MOST = 250_000  #: pieces a worker keeps
 _MANY = 512  #: words in a text given to the library
 #: How a piece that doesn't follow a space begins.
 _FIRST, _LINE = "\x01", "\n"
@@ -34,7 +36,7 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def gathered(batches: Iterator[pa.RecordBatch], column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def gathered(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in batches of about ``most`` bytes of one column: words repeat less often from batch to batch."""
     held, size = [], 0
     for batch in batches:
@@ -45,6 +47,8 @@ def gathered(batches: Iterator[pa.RecordBatch], column: int, most: int = 8 << 20
             held, size = [], 0
     if sum(b.num_rows for b in held):
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    held.clear()
+    tidy()
 
 
 class Encoder:

@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from terraloom.llm.common import store, tune
+from terraloom.llm.common import store, tidy, tune
 
 SIZES = (3, 4, 5, 6)
 BUCKETS = 1 << 20
@@ -172,6 +172,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in batches:
             s = np.array([model.score(t) for t in batch.column(where).to_pylist()], float)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=kept + ["score", "predicted"])
+        tidy()
 
     fields = [T.StructField(f.name, f.dataType) for f in docs.select(*kept).schema.fields] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
     return docs.select(*kept).mapInArrow(run, T.StructType(fields))
