@@ -300,8 +300,8 @@ def set_table(docs: DataFrame, ids: DataFrame, words: int = WORDS) -> DataFrame:
     bits = ids.select(F.pmod(F.xxhash64("id"), F.lit(BITS)).alias("spot"))
     found = bits.groupBy(F.expr("spot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(spot % 64 as int)))").alias("bits"))
     table = np.zeros(BITS // 64, np.int64)
-    for word, got in found.collect():  # at most BITS / 64 rows
-        table[word] = got
+    got = found.toArrow()  # at most BITS / 64 rows
+    table[got.column("word").to_numpy()] = got.column("bits").to_numpy()
     asked = docs.sparkSession.sparkContext.broadcast(table)
     tune(docs.sparkSession)
 

@@ -444,6 +444,13 @@ def test_line_dedup(spark, odd, empty):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_short_lines_match_one_word_longer_ones(spark):
+    """Four words of five are 8/10; three of four aren't."""
+    d = spark.createDataFrame([(1, "a b c d e\nx y z q"), (2, "d c b a\nz y x"), (3, "a b c d e f")], "doc_id long, text string")
+    got = {r["doc_id"]: r["removed_lines"] for r in linededup.report(d).collect()}
+    assert got == {1: [], 2: [0], 3: [0]}
+
+
 # 9
 def test_fixity_audit(spark):
     rows = [(i, f"u{i}", f"page {i} " * (i % 7)) for i in range(300)] + [(None, None, None), (5, "u5", "again")]
