@@ -24,7 +24,7 @@ from terraloom.llm.common import tidy
 _ODD = "[\x00-\x09\x0b-\x1f\x7f-\xa0̀-ͯᄀ-ᇿ ᠎ -‏ -  -⁤　゙゚﻿]|  |\n\n| \n|\n |<\\||\\A[ \n]|[ \n]\\z"
 #: Marks that may follow a word; none starts a contraction.
 _MARKS = ".,;:!?%*&$#|"
-_MOST = 250_000  #: pieces a worker keeps
+_MOST = 100_000  #: pieces a worker keeps
 _MANY = 512  #: words in a text given to the library
 #: How a piece that doesn't follow a space begins.
 _FIRST, _LINE = "\x01", "\n"
@@ -36,7 +36,7 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def gathered(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def gathered(batches: Iterator[pa.RecordBatch], column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in batches of about ``most`` bytes of one column: words repeat less often from batch to batch."""
     held, size = [], 0
     for batch in batches:
