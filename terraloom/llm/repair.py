@@ -34,6 +34,7 @@ from terraloom.llm.tokens import Encoder, gathered
 SHARD = 1 << 20  #: ids after which a shard is closed
 RULES = 1 << 15  #: at most so many new rules a round; the rest waits for the next
 LEAST = 8  #: a pair must occur so often to be replaced
+BATCH, KEPT = 8 << 20, 1_000_000  #: bytes of text tokenized at once, pieces kept; some 300 MB of a worker
 MAGIC = b"TLRP1\0\0\0"
 
 
@@ -181,6 +182,7 @@ def write_shards(docs: DataFrame, vocabulary: str, end: int = 1, shard: int = SH
 
     def run(batches):
         encoder, part = Encoder.of(vocabulary), TaskContext.get().partitionId()
+        encoder.most = KEPT
         names, parts, full, number = [], [], 0, 0
 
         def close():
@@ -188,7 +190,7 @@ def write_shards(docs: DataFrame, vocabulary: str, end: int = 1, shard: int = SH
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "shard": pa.array([number], pa.int32()), "n_docs": [len(names)], "n_tokens": [full], "n_symbols": [Shard(blob).seq.size], "blob": pa.array([blob], pa.binary())})
 
         last = np.array([end], np.uint32)
-        for batch in gathered(batches, 1):
+        for batch in gathered(batches, 1, BATCH):
             flat, at = encoder.flat(batch.column(1))
             for doc, a, b in zip(batch.column(0).to_pylist(), at.tolist(), at[1:].tolist()):
                 ids = np.concatenate([flat[a:b], last])

@@ -24,7 +24,7 @@ from terraloom.llm.common import tidy
 _ODD = "[\x00-\x09\x0b-\x1f\x7f-\xa0̀-ͯᄀ-ᇿ ᠎ -‏ -  -⁤　゙゚﻿]|  |\n\n| \n|\n |<\\||\\A[ \n]|[ \n]\\z"
 #: Marks that may follow a word; none starts a contraction.
 _MARKS = ".,;:!?%*&$#|"
-_MOST = 100_000  #: pieces a worker keeps
+_MOST = 100_000  #: pieces a worker keeps, unless an operator asks for more: each takes some 200 bytes
 _MANY = 512  #: words in a text given to the library
 #: How a piece that doesn't follow a space begins.
 _FIRST, _LINE = "\x01", "\n"
@@ -66,6 +66,8 @@ class Encoder:
         self.dropped = self.tokenizer.normalizer is not None
         #: Pieces as they stand after a space; where white space is dropped, as they stand anywhere.
         self.cache: dict[str, bytes] = {}
+        #: Pieces kept from batch to batch.
+        self.most = _MOST
         #: Runs of marks as they stand after a letter.
         self.marks: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -126,7 +128,7 @@ class Encoder:
     def flat(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids (unsigned 32 bits) of all texts, and the place of each text's first; null texts have none."""
         texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
-        if len(self.cache) > _MOST:
+        if len(self.cache) > self.most:
             self.cache.clear()
             self.marks.clear()
         odd = pc.match_substring_regex(texts, _ODD)
