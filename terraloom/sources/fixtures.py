@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from terraloom.functions import geometry as g
+from terraloom.sources.store import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,12 +59,12 @@ _KINDS = {"borehole": _points, "unit": _polygons, "region": _regions, "fault": _
 
 
 def features(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
-    """Features (id, name, kind, geom), of all kinds or those named."""
+    """Features (id, name, kind, geom), of all kinds or those named, stored: geometries are built once."""
     rows = None
     for kind in kinds or _KINDS:
         part = _KINDS[kind](spark, sf_dir)
         rows = part if rows is None else rows.union(part)
-    return rows.select("id", "name", "kind", g.geometry(F.col("dim"), F.col("pts")).alias("geom"))
+    return stored(rows.select("id", "name", "kind", g.geometry(F.col("dim"), F.col("pts")).alias("geom")))
 
 
 #: The same relations as vertices, for DuckDB: v(id, kind, dim, k, x, y).

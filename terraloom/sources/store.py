@@ -2,17 +2,31 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from terraloom.operators.graph import upsert
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder and read from there, so that what uses it twice doesn't run it twice.
+    """``df`` written as a table to the checkpoint folder and read from there: what uses it twice doesn't run it twice, and its size is known.
 
-    Without a checkpoint folder it stays as it is.
+    Without such a folder, one is made on a single machine; on a cluster
+    ``df`` stays as it is.
     """
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not sc.master.startswith("local"):
+            return df
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="terraloom-"))
+        folder = sc.getCheckpointDir()
+    path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def upsert_features(table: DataFrame, rows: DataFrame) -> DataFrame:
