@@ -3,6 +3,16 @@
 Each stage takes (spark, docs, sf_dir), works on all that the one before
 kept, and returns a DataFrame that is written as Parquet and read again as
 the next one's ``docs``. All but the last return the columns of documents.
+
+Defined results. Toxicity: null and empty texts are scored like any other and
+stay unless called toxic. Line dedup: null texts stay null, documents that
+lose every line they have go, equal lines of rows alike don't remove each
+other. Jaccard join: documents without words stay; of documents linked, and of
+rows alike under one doc_id, one stays; rows without a doc_id stay. Mixing: a
+document of size 0 comes as often as its certain copies; rows alike come
+alike. Packing: a null text is its end id alone, every row is packed for
+itself. An empty table gives empty results in every stage; extra columns pass
+through all but the last.
 """
 
 from __future__ import annotations
