@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from terraloom.operators import field, mesh, neural, raster
 from terraloom.plans.catalog import query
@@ -183,10 +183,15 @@ def thermal_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return field.thermal_step(heights(spark, sf_dir)).select("scene_id", "y", "x", (F.round("h", 6) + F.lit(0.0)).alias("h"))
 
 
+def _rounded(c: str) -> Column:
+    """Six places as SQL rounds them: in double precision. Spark rounds the decimal digits, which differs where these end in a 5."""
+    return F.round(F.col(c) * 1e6) / 1e6 + F.lit(0.0)
+
+
 @query("seismic_step", _NB + f", s AS (SELECT *, (0+(wl+we+wu+wd-4*h))*{D(0.996)} v FROM wr) SELECT scene_id, y, x, round(CASE WHEN y IN (0,31) OR x IN (0,31) THEN 0 ELSE h+{D(0.25)}*v END,6)+0.0 h, round(v,6)+0.0 v FROM s")
 def seismic_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = field.seismic_step(heights(spark, sf_dir).withColumn("v", F.lit(0.0)))
-    return out.select("scene_id", "y", "x", (F.round("h", 6) + F.lit(0.0)).alias("h"), (F.round("v", 6) + F.lit(0.0)).alias("v"))
+    return out.select("scene_id", "y", "x", *[_rounded(c).alias(c) for c in "hv"])
 
 
 def _solved(name: str, steps: int):

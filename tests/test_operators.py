@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from terraloom.functions import geometry as g, text as t
 from terraloom.operators import field, fusion, graph, mesh, raster, spatial, text
+from terraloom.plans import fields
 from terraloom.sources import store
 from terraloom.streaming.ingest import upsert_stream
 
@@ -104,6 +105,14 @@ def test_harmonics_are_orthonormal(spark):
     assert np.allclose(m.T @ (m * got["w"].to_numpy()[:, None]), np.eye(len(y)), atol=1e-10)
 
 
+def test_rounding_is_that_of_the_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    values = [0.5158035, -0.5158035, 0.0000005, -0.0000004, 1.0000015, 2.5, None]  # 0.5158035 * 1e6 lies below its half
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(fields._rounded("v")).collect()]
+    assert got == [duckdb.execute("SELECT round(CAST(? AS double), 6) + 0.0", [v]).fetchone()[0] for v in values]
+    assert got[0] == 0.515803
+
+
 def test_water_is_kept():
     h = np.random.default_rng(1).normal(size=(12, 12))
     for compat in (False, True):
