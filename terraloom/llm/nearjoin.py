@@ -8,25 +8,27 @@ with equal sets collapse to one point first. The join then works in rounds:
    ``floor(radius * n) + 1`` shingles of either in that order, so a shingle
    that stands there in two sets or more is a cell; sets that share no cell
    are farther apart than ``radius`` and need no distance.
-2. Pivots. Each open cell gets its most central point and, drawn by hash,
-   about ``PIVOTS`` more, four times as many each round. A pivot gets its exact
-   distance to every point of the cell that could be near, and a lower bound
-   (from sizes and places) to the others.
-3. Voronoi regions. A point goes to the region of its nearest pivot, if it is
-   within twice the radius; points far from all pivots stay together.
+2. Pivots. Each open cell gets its most central point and, if it is large,
+   about ``PIVOTS`` more, drawn by hash. A pivot gets its exact distance to
+   every point of the cell that could be near; for the others sizes and
+   sketches (512 parity bits a set) bound it from below.
+3. Voronoi regions of large cells. A point goes to the region of its nearest
+   pivot, if it is within twice the radius; points far from all pivots stay
+   together.
 4. Windows. By the triangle inequality a point outside a region can be linked
    with one inside only if its distance to the pivot is at most the region's
-   own radius plus ``radius``: such points are copied into the region.
-5. Recursion. Points within ``radius`` of the pivot are connected through it.
-   They go on only as far as a point beyond that radius may reach them. A
-   region without such points is done, all others are the next round's cells,
-   without their pivots. As pivots multiply, a cell that doesn't split ends all
-   the same, in about as many rounds as its size has digits to the base 4,
-   because all its points become pivots.
-
-No group of near copies is expanded into its pairs: a group around a pivot
-closes after one round. Connected components over the links come from
-alternating large-star and small-star steps, in DataFrames.
+   own radius plus ``radius``: such points are copied into the region. Points
+   within ``radius`` of the pivot go on only as far as a point beyond that
+   radius may reach them.
+5. Components of the links so far are the points' homes. A cell or region of
+   one home is done; in all others the points outside the commonest home are
+   compared with every point of another home, in blocks of bounded size. Sizes,
+   places and sketches decide in the join itself, so only pairs that are linked
+   or nearly so leave it.
+
+No group of near copies is expanded into its pairs: what a pivot connects is
+one home. Connected components over the links come from alternating large-star
+and small-star steps, in DataFrames.
 
 Counts of shingles (step 1) never leave the executors as rows: each task
 sorts the 32-bit shingle codes of its documents by range of codes, ranges
@@ -52,7 +54,11 @@ WORDS = 5
 #: Similarity as a fraction: linked if DEN * both >= NUM * either.
 NUM, DEN = 75, 100
 RANGES = 64
-PIVOTS = 4  #: drawn in a cell in the first round, beside the central one
+PIVOTS = 4  #: drawn in a large cell in the first round, beside the central one
+DIRECT = 256  #: points of a cell, or of a block of one, that are compared with each other
+LEVELS = 1  #: rounds of regions; what these leave whole is compared by blocks
+SKETCH = 8  #: 64-bit words of a set's sketch
+SKETCHED = [f"s{k}" for k in range(SKETCH)]
 UNIT_DOCS = 1 << 14  #: documents whose shingles a task sorts at once
 UNIT_SHINGLES = 1 << 21
 BITS = 1 << 23  #: of the filter that spares texts no pair needs
@@ -118,6 +124,12 @@ def print_of(codes: np.ndarray) -> tuple[int, int]:
     return int(a >> np.uint64(1)), int(b >> np.uint64(1))
 
 
+def sketch(codes: np.ndarray) -> np.ndarray:
+    """Whether an odd number of codes falls into each bit: no more bits differ between two sets than codes."""
+    odd = np.bincount((codes & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, and p1, p2 that are equal for equal sets (null for empty ones)."""
     tune(docs.sparkSession)
@@ -296,7 +308,7 @@ def cells(docs: DataFrame, shingles: int, num: int = NUM, den: int = DEN, words:
 
 
 def set_table(docs: DataFrame, ids: DataFrame, words: int = WORDS) -> DataFrame:
-    """(id, codes): the sorted shingle codes, as bytes, of the documents in ``ids`` (id), stored."""
+    """(id, codes, sketch): the sorted shingle codes, as bytes, of the documents in ``ids`` (id), stored."""
     bits = ids.select(F.pmod(F.xxhash64("id"), F.lit(BITS)).alias("spot"))
     found = bits.groupBy(F.expr("spot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(spot % 64 as int)))").alias("bits"))
     table = np.zeros(BITS // 64, np.int64)
@@ -309,10 +321,12 @@ def set_table(docs: DataFrame, ids: DataFrame, words: int = WORDS) -> DataFrame:
         for batch in batches:
             spot = batch.column(2).to_numpy(zero_copy_only=False)
             some = pa.array(np.flatnonzero(asked.value[spot >> 6] >> (spot & 63) & 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(some), pa.array([shingle_codes(t, words).tobytes() for t in batch.column(1).take(some).to_pylist()], pa.binary())], names=["id", "codes"])
+            codes = [shingle_codes(t, words) for t in batch.column(1).take(some).to_pylist()]
+            sketches = np.array([sketch(c) for c in codes], np.int64).reshape(-1, SKETCH)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(some), pa.array([c.tobytes() for c in codes], pa.binary()), *[pa.array(x) for x in sketches.T]], names=["id", "codes", *SKETCHED])
 
     rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).alias("spot"))
-    rows = rows.mapInArrow(coded, "id long, codes binary")
+    rows = rows.mapInArrow(coded, ", ".join(["id long", "codes binary", *[f"{c} long" for c in SKETCHED]]))
     return store(rows.join(ids.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "near-sets")
 
 
@@ -346,13 +360,20 @@ def merged(cut: DataFrame) -> DataFrame:
     return cut.join(per, "cell").groupBy(F.col("_cell").alias("cell"), "id").agg(F.max("n").alias("n"), F.min("at").alias("at"))
 
 
+def _bound(x: str, y: str) -> Column:
+    """At least so many shingles stand in one of two sets only."""
+    return sum((F.bit_count(F.col(x + c).bitwiseXOR(F.col(y + c))) for c in SKETCHED), F.lit(0))
+
+
 def links(docs: DataFrame, cut: DataFrame, num: int = NUM, den: int = DEN, words: int = WORDS, trace: list[dict] | None = None) -> DataFrame:
-    """Edges (a, b) that connect exactly what is linked, by rounds of pivots over ``cut`` (cell, id, n, at).
+    """Edges (a, b) whose components are those of all links, by rounds over ``cut`` (cell, id, n, at).
 
     The central point of a cell is the one with the fewest shingles of its own
-    before the cell's. A pair whose shingles from the cell's on can't make up
-    the overlap it needs is no pair (the first shingle that two sets share
-    bounds their overlap). ``trace`` gets what each round did.
+    before the cell's. Measured are only pairs of different homes (components
+    so far) that may be linked: by their sizes, by their sketches, and by
+    their shingles from the cell's on (the first shingle that two sets share
+    bounds their overlap). Bounds on distances, which regions need, come from
+    sizes and sketches alone. ``trace`` gets what each round did.
     """
     radius = 1 - num / den
     slack = 1e-9
@@ -360,52 +381,81 @@ def links(docs: DataFrame, cut: DataFrame, num: int = NUM, den: int = DEN, words
     apart = 1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
     n, at, pn, pat = F.col("n"), F.col("at"), F.col("pn"), F.col("pat")
     most = F.least(n - at, pn - pat)  # of common shingles, if the cell's is the first
-    possible = (F.least(n, pn) * den >= F.greatest(n, pn) * num) & (most * (num + den) >= (n + pn) * num)
-    least_apart = F.greatest(F.lit(radius), 1 - F.least(n, pn) / F.greatest(n, pn), 1 - most / (n + pn - most))
+    sized = F.least(n, pn) * den >= F.greatest(n, pn) * num
+    sketched = _bound("", "p") * (den + num) <= (n + pn) * (den - num)
+    possible = (F.col("home") != F.col("phome")) & sized & (most * (num + den) >= (n + pn) * num) & sketched
+    least_apart = F.greatest(1 - F.least(n, pn) / F.greatest(n, pn), 2 * _bound("", "p") / (n + pn + _bound("", "p")))
+    point = ["id", "n", "at", "home", *SKETCHED]
+    as_pivot = [F.col(c).alias(f"p{c}") for c in ("n", "at", "home", *SKETCHED)]
+    later = F.col("id") != F.col("pivot")
 
     known = set_table(docs, cut, words)
-    state = store(cut.select("cell", "id", "n", "at", F.lit(None).cast("long").alias("home")), "near-state")
+    state = store(cut.join(known.select("id", *SKETCHED), "id").select("cell", "id", "n", "at", F.col("id").alias("home"), *SKETCHED), "near-state")
     edges = state.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     level = 0
     while True:
-        central = F.min(F.struct(F.col("home").isNotNull().alias("later"), (F.col("at") / F.col("n")).alias("draw"), "id"))
-        # Homes that differ leave a cell open: points of two regions have not been compared.
-        whole = (F.count("home") == F.count(F.lit(1))) & (F.min("home") == F.max("home"))
-        per = state.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), central["id"].alias("first"), F.coalesce(whole, F.lit(False)).alias("whole"))
-        per = store(per.where((F.col("size") > 1) & ~F.col("whole")).select("cell", "size", "first"), "near-open")
+        central = F.min(F.struct((F.col("at") / F.col("n")).alias("draw"), "id"))
+        # Per cell its size, its commonest home, its central point; a cell of one home is done.
+        homes = state.groupBy("cell", "home").agg(F.count(F.lit(1)).alias("_n"), central.alias("_first"))
+        per = homes.groupBy("cell").agg(F.sum("_n").alias("size"), F.count(F.lit(1)).alias("_homes"), F.max(F.struct("_n", "home"))["home"].alias("main"), F.min("_first")["id"].alias("first"))
+        big = F.col("size") > DIRECT
+        direct = F.lit(False) if not level else ~big | F.lit(level >= LEVELS)
+        per = store(per.where(F.col("_homes") > 1).select("cell", "size", "main", "first", big.alias("big"), direct.alias("direct")), "near-open")
         if per.isEmpty():
             break
-        share = F.lit(float(PIVOTS << 2 * level)) / F.greatest(F.col("size") - 2, F.lit(1))  # two points need one pivot
-        drawn = (F.pmod(F.xxhash64("id", F.lit(level)), F.lit(1 << 30)) / float(1 << 30) < share) & (F.col("size") > 2)
-        pivots = state.join(per, "cell").where(drawn | (F.col("id") == F.col("first"))).select("cell", F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("at").alias("pat"))
-        pivots = store(pivots, "near-pivots")
-        met = state.join(pivots, "cell").where(F.col("id") != F.col("pivot")).withColumn("may", possible).withColumn("least", least_apart)
-        met = store(met.select("cell", "id", "n", "at", "home", "pivot", "may", "least"), "near-met")
-        pairs = met.where("may").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-        found = store(distances(known, pairs), "near-distances")
+        rows = state.join(per, "cell")
+        asked = []
+        if level:
+            # All pairs of two homes of a cell, in blocks of about DIRECT points.
+            blocks = F.ceil(F.col("size") / DIRECT).cast("int")
+            ends = rows.where("direct").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+            asks = rows.where(F.col("direct") & (F.col("home") != F.col("main"))).select("cell", F.col("id").alias("pivot"), *as_pivot, F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+            once = (F.col("home") == F.col("main")) | (F.col("id") < F.col("pivot"))
+            asked.append(ends.join(asks, ["cell", "block"]).where(once & possible).select(F.col("pivot").alias("a"), F.col("id").alias("b")))
+        drawn = F.pmod(F.xxhash64("id", F.lit(level)), F.lit(1 << 30)) / float(1 << 30) < F.lit(float(PIVOTS << 2 * level)) / F.col("size")
+        pivots = rows.where(~F.col("direct") & ((F.col("id") == F.col("first")) | (F.col("big") & drawn)))
+        pivots = store(pivots.select("cell", F.col("id").alias("pivot"), *as_pivot, "big"), "near-pivots")
+        asked.append(state.join(pivots.where(~F.col("big")), "cell").where(later & possible).select(F.col("pivot").alias("a"), F.col("id").alias("b")))
+        wide_cells = not pivots.where("big").isEmpty()
+        if wide_cells:
+            met = state.join(pivots.where("big"), "cell").where(later).withColumn("may", possible).withColumn("least", least_apart)
+            met = store(met.select("cell", *point, "pivot", "may", "least"), "near-met")
+            asked.append(met.where("may").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
+        pairs = asked[0]
+        for more in asked[1:]:
+            pairs = pairs.union(more)
+        found = store(distances(known, pairs.distinct()), "near-distances")
         edges = edges.union(found.where(similar).select("a", "b"))
-        far = found.select(F.col("a").alias("pivot"), F.col("b").alias("id"), apart.alias("apart"), similar.alias("linked"))
-        judged = met.join(far, ["pivot", "id"], "left").join(pivots.select("cell", F.col("pivot").alias("id")), ["cell", "id"], "left_anti")
-        judged = judged.withColumn("linked", F.coalesce("linked", F.lit(False))).withColumn("d", F.coalesce("apart", "least"))
-        # The nearest pivot of each point among those whose distance is known.
-        nearest = F.min(F.when(F.col("apart") <= 2 * radius, F.struct("apart", "pivot")))["pivot"]
-        regions = judged.groupBy("cell", "id").agg(nearest.alias("region"), F.first("n").alias("n"), F.min("at").alias("at"), F.min("home").alias("home"))
-        regions = store(regions, "near-regions")
-        judged = judged.select("cell", "id", "n", "at", "home", "pivot", "linked", "d").join(regions.select("cell", "id", "region"), ["cell", "id"])
-        judged = store(judged, "near-judged")
-        wide = judged.where(F.col("region") == F.col("pivot")).groupBy("cell", "pivot").agg(F.max("d").alias("_wide"))
-        held = judged.join(wide, ["cell", "pivot"]).withColumn("inner", F.coalesce(F.col("region") == F.col("pivot"), F.lit(False)))
-        held = held.where(F.col("inner") | (F.col("d") <= F.col("_wide") + radius + slack))
-        # Regions of one pivot go on as one: what shared one still does.
-        held = held.groupBy("pivot", "id").agg(F.first("n").alias("n"), F.min("at").alias("at"), F.min("home").alias("home"), F.max("linked").alias("linked"), F.min("d").alias("d"), F.max("inner").alias("inner"))
-        held = store(held, "near-windows")
-        outside = held.where(~F.col("linked")).groupBy("pivot").agg(F.min("d").alias("_out"))
-        kept = held.join(outside, "pivot").where(~F.col("linked") | (F.col("d") >= F.col("_out") - radius - slack))
-        kept = kept.select(F.xxhash64(F.lit(level), "pivot").alias("cell"), "id", "n", "at", F.when(F.col("linked"), F.col("pivot")).otherwise(F.col("home")).alias("home"))
-        rest = regions.where(F.col("region").isNull()).select(F.xxhash64(F.lit(-1), "cell").alias("cell"), "id", "n", "at", "home")
-        state = store(kept.union(rest), "near-state")
+        # Cells of three points and more that were not split go on as they are.
+        left = state.join(per.where(~F.col("direct") & ~F.col("big") & (F.col("size") > 2)).select("cell"), "cell", "left_semi").select("cell", *point)
+        if wide_cells:
+            far = found.select(F.col("a").alias("pivot"), F.col("b").alias("id"), apart.alias("apart"), similar.alias("linked"))
+            judged = met.join(far, ["pivot", "id"], "left").join(pivots.where("big").select("cell", F.col("pivot").alias("id")), ["cell", "id"], "left_anti")
+            judged = judged.withColumn("linked", F.coalesce("linked", F.lit(False))).withColumn("d", F.coalesce("apart", "least"))
+            # The nearest pivot of each point among those whose distance is known.
+            nearest = F.min(F.when(F.col("apart") <= 2 * radius, F.struct("apart", "pivot")))["pivot"]
+            of_point = [F.min(c).alias(c) for c in point[1:]]
+            regions = store(judged.groupBy("cell", "id").agg(nearest.alias("region"), *of_point), "near-regions")
+            judged = judged.select("cell", *point, "pivot", "linked", "d").join(regions.select("cell", "id", "region"), ["cell", "id"])
+            judged = store(judged, "near-judged")
+            wide = judged.where(F.col("region") == F.col("pivot")).groupBy("cell", "pivot").agg(F.max("d").alias("_wide"))
+            held = judged.join(wide, ["cell", "pivot"]).withColumn("inner", F.coalesce(F.col("region") == F.col("pivot"), F.lit(False)))
+            held = held.where(F.col("inner") | (F.col("d") <= F.col("_wide") + radius + slack))
+            # Regions of one pivot go on as one: what shared one still does.
+            held = held.groupBy("pivot", "id").agg(*of_point, F.max("linked").alias("linked"), F.min("d").alias("d"), F.max("inner").alias("inner"))
+            held = store(held, "near-windows")
+            outside = held.where(~F.col("linked")).groupBy("pivot").agg(F.min("d").alias("_out"))
+            kept = held.join(outside, "pivot").where(~F.col("linked") | (F.col("d") >= F.col("_out") - radius - slack))
+            left = left.union(kept.select(F.xxhash64(F.lit(level), "pivot").alias("cell"), *point))
+            left = left.union(regions.where(F.col("region").isNull()).select(F.xxhash64(F.lit(-1), "cell").alias("cell"), *point))
         if trace is not None:
-            trace.append({"cells": per.count(), "pivots": pivots.count(), "pairs": found.count(), "regions": held.where("inner").select("pivot").distinct().count(), "inside": held.where("inner").count(), "copied": held.where(~F.col("inner")).count(), "left": state.count()})
+            split = {"regions": held.where("inner").select("pivot").distinct().count(), "inside": held.where("inner").count(), "copied": held.where(~F.col("inner")).count()} if wide_cells else {}
+            trace.append({"cells": per.count(), "pivots": pivots.count(), "pairs": found.count(), **split})
+        if left.isEmpty():
+            break
+        parts = components(edges).withColumnRenamed("component", "_home")
+        left = left.join(parts, "id", "left").select("cell", "id", "n", "at", F.coalesce("_home", "home").alias("home"), *SKETCHED)
+        state = store(left, "near-state")
         level += 1
     return store(edges.distinct(), "near-links")
 

@@ -279,6 +279,38 @@ def test_regions_bridged_by_one_link_are_one_component(spark):
     assert parts == dict.fromkeys(texts, 0)
 
 
+@pytest.mark.parametrize(("large", "levels"), [(4, 0), (4, 1), (4, 3), (256, 1)])
+def test_links_of_crowded_cells(spark, large, levels, monkeypatch):
+    """Cells split into regions, or left whole and compared by blocks, connect what is linked; a core's pairs aren't expanded."""
+    monkeypatch.setattr(nearjoin, "DIRECT", large)
+    monkeypatch.setattr(nearjoin, "LEVELS", levels)
+    rng = np.random.default_rng(11)
+    texts = {}
+    for k in range(150):  # from copies close to a template to such as are linked with little or nothing
+        w = [f"t{i}" for i in range(60)]
+        for i in rng.choice(60, int(rng.integers(0, 5 if k < 110 else 14)), replace=False):
+            w[i] = f"own{k}_{i}" if k % 3 else f"own{i}"
+        texts[k] = " ".join(w)
+    want, sets = brute_components(list(texts.items()))
+    assert len(set(want.values())) > 5
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    total = sum(map(len, sets.values()))
+    cut = nearjoin.merged(nearjoin.cells(docs, total))
+    trace = []
+    parts = {r["id"]: r["component"] for r in nearjoin.components(nearjoin.links(docs, cut, trace=trace)).collect()}
+    assert {i: parts.get(i, i) for i in texts} == want
+    if large > len(texts):
+        assert sum(t["pairs"] for t in trace) < len(texts) * 30 / 2  # of 11175
+
+
+def test_sketch_bounds_the_difference():
+    rng = np.random.default_rng(3)
+    for n in (1, 40, 3000):
+        a, b = (np.unique(np.concatenate([rng.integers(0, 1 << 62, k, dtype=np.uint64), np.arange(n, dtype=np.uint64)])) for k in (5, 90))
+        bits = sum(int(x).bit_count() for x in (nearjoin.sketch(a) ^ nearjoin.sketch(b)).view(np.uint64))
+        assert bits <= len(np.setxor1d(a, b))
+
+
 def test_jaccard_join_of_nothing(empty):
     assert nearjoin.join(empty).count() == 0
 
