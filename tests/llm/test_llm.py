@@ -483,6 +483,26 @@ def test_short_lines_match_one_word_longer_ones(spark):
     assert got == {1: [], 2: [0], 3: [0]}
 
 
+def test_lines_of_a_crowd_are_not_expanded(spark, monkeypatch):
+    """Variants of one line, most linked with many but not with the earliest: brute force's result, without a row per pair."""
+    rng = np.random.default_rng(2)
+    lines = []
+    for k in range(260):
+        w = [f"w{i}" for i in range(30)]
+        for i in rng.choice(30, 3, replace=False):
+            w[i] = f"w{i}x{rng.integers(0, 3)}"
+        lines.append(" ".join(w))
+    rows = [(k, line, "a", 0.0) for k, line in enumerate(lines)]
+    sets = [set(x.split()) for x in lines]
+    match = lambda a, b: 10 * len(a & b) >= 8 * len(a | b)
+    want = {k for k in range(len(sets)) if any(match(sets[k], sets[j]) for j in range(k))}
+    stored, keep = {}, linededup.store
+    monkeypatch.setattr(linededup, "store", lambda df, label, *a: stored.setdefault(label, []).append(keep(df, label, *a)) or stored[label][-1])
+    got = {r["doc_id"] for r in linededup.report(spark.createDataFrame(rows, DOCS)).collect() if r["removed_lines"]}
+    assert got == want and 0 < len(want) < len(sets)
+    assert sum(t.count() for t in stored["line-pairs"]) <= 4 * len(sets)  # a pair per shown code, at most
+
+
 # 9
 def test_fixity_audit(spark):
     rows = [(i, f"u{i}", f"page {i} " * (i % 7)) for i in range(300)] + [(None, None, None), (5, "u5", "again")]
