@@ -34,7 +34,7 @@ from terraloom.llm.tokens import Encoder, gathered
 SHARD = 1 << 20  #: ids after which a shard is closed
 RULES = 1 << 15  #: at most so many new rules a round; the rest waits for the next
 LEAST = 8  #: a pair must occur so often to be replaced
-BATCH, KEPT = 8 << 20, 1_000_000  #: bytes of text tokenized at once, pieces kept; some 300 MB of a worker
+BATCH, KEPT = 8 << 20, 1_000_000  #: bytes of text tokenized at once, pieces kept; some 250 MB of a worker
 MAGIC = b"TLRP1\0\0\0"
 
 

@@ -2,8 +2,10 @@
 
 Both kinds of vocabulary used here split a text before they merge, and no
 merge crosses that split. So a batch of texts is cut at single spaces and line
-ends in Arrow, its distinct pieces are looked up or encoded once by the
-library, and their ids are gathered. Words of letters alone go to the library
+ends in Arrow, its distinct pieces are looked up in a table of known ones or
+encoded once by the library, and their ids are gathered. The table is two
+Arrow columns, so a piece takes some 50 bytes of a worker and no step but the
+library's goes piece by piece. Words of letters alone go to the library
 many to a text, as their tokens show where each begins (or ends); if they
 don't, one by one. Texts whose spacing or characters could make the two cuts
 differ (white space in a row, odd white space, control or combining
@@ -12,6 +14,7 @@ characters, a special token's string) go to the library whole.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +27,9 @@ from terraloom.llm.common import tidy
 _ODD = "[\x00-\x09\x0b-\x1f\x7f-\xa0̀-ͯᄀ-ᇿ ᠎ -‏ -  -⁤　゙゚﻿]|  |\n\n| \n|\n |<\\||\\A[ \n]|[ \n]\\z"
 #: Marks that may follow a word; none starts a contraction.
 _MARKS = ".,;:!?%*&$#|"
-_MOST = 100_000  #: pieces a worker keeps, unless an operator asks for more: each takes some 200 bytes
+_MOST = 100_000  #: pieces a worker keeps, unless an operator asks for more: each takes some 50 bytes
 _MANY = 512  #: words in a text given to the library
+_CALL = 32  #: such texts a call: what it returns takes some 100 bytes an id
 #: How a piece that doesn't follow a space begins.
 _FIRST, _LINE = "\x01", "\n"
 
@@ -51,12 +55,44 @@ def gathered(batches: Iterator[pa.RecordBatch], column: int, most: int = 2 << 20
     tidy()
 
 
+class Pieces:
+    """Texts and their ids, in two columns."""
+
+    def __init__(self, texts: pa.Array, ids: np.ndarray, size: np.ndarray):
+        self.texts, self.ids, self.size = texts, ids, size
+
+    def __len__(self) -> int:
+        return len(self.texts)
+
+    def gather(self, at: np.ndarray) -> np.ndarray:
+        """The ids of the pieces at ``at``, in a row."""
+        begin = np.insert(np.cumsum(self.size), 0, 0).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(begin), pa.array(self.ids)).take(pa.array(at)).flatten().to_numpy()
+
+    def some(self, at: np.ndarray) -> "Pieces":
+        return Pieces(self.texts.take(pa.array(at)), self.gather(at), self.size[at])
+
+    def find(self, texts: pa.Array) -> np.ndarray:
+        """Where each text stands, or -1."""
+        return np.array(pc.fill_null(pc.index_in(texts, value_set=self.texts), -1), np.int64)
+
+    @staticmethod
+    def joined(*parts: "Pieces") -> "Pieces":
+        return Pieces(pa.concat_arrays([p.texts for p in parts]), np.concatenate([p.ids for p in parts]), np.concatenate([p.size for p in parts]))
+
+
+def _list(texts: pa.Array) -> list[str]:
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
 class Encoder:
     """``flat(texts)``: the ids of all texts in a row, and where each text's begin."""
 
     _made: dict[str, "Encoder"] = {}
 
     def __init__(self, path: str):
+        # A task has one core; the library's threads would each hold memory of their own.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -65,11 +101,11 @@ class Encoder:
         #: Whether white space is dropped; else a space belongs to the word after it.
         self.dropped = self.tokenizer.normalizer is not None
         #: Pieces as they stand after a space; where white space is dropped, as they stand anywhere.
-        self.cache: dict[str, bytes] = {}
-        #: Pieces kept from batch to batch.
+        self.known = Pieces(pa.array(["", _FIRST]), np.empty(0, np.uint32), np.zeros(2, np.int64))
+        #: Where the pieces of the last batch stand among them.
+        self.recent = np.arange(2)
+        #: Pieces kept from batch to batch; beyond them those of the last one stay.
         self.most = _MOST
-        #: Runs of marks as they stand after a letter.
-        self.marks: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         #: Tokens that end a word, or begin one after a space.
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -82,55 +118,70 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encoded(self, texts: pa.Array, given: list[str]) -> Pieces:
+        """``texts`` with the ids of ``given``, one for each."""
+        ids = [x for i in range(0, len(given), _MANY) for x in self.whole(given[i : i + _MANY])]
+        return Pieces(texts, np.concatenate([np.empty(0, np.uint32), *ids]), np.fromiter(map(len, ids), np.int64, len(ids)))
 
-    def words(self, words: list[str]) -> list[bytes]:
-        """The ids of words of letters, each as it stands after a space."""
-        out: list[bytes] = []
+    def words(self, words: pa.Array) -> Pieces:
+        """Words of letters, each with its ids as it stands after a space."""
+        if not len(words):
+            return self.encoded(words, [])
+        ids, size = [], []
         space = "" if self.dropped else " "
-        groups = [words[i : i + _MANY] for i in range(0, len(words), _MANY)]
-        for group, got in zip(groups, self.tokenizer.encode_batch_fast([space + " ".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(got.ids, "<u4")
-            edge = np.flatnonzero(self.edge[ids])
-            if len(edge) != len(group):
-                out += self.whole([space + w for w in group])
-                continue
-            cut = np.append(edge, len(ids)) if space else np.insert(edge + 1, 0, 0)
-            raw, cut = ids.tobytes(), (cut * 4).tolist()
-            out += [raw[a:b] for a, b in zip(cut, cut[1:])]
-        return out
-
-    def learn(self, new: list[str]) -> None:
-        """Put pieces into the cache. A word and the marks after it never merge, so both are looked up apart."""
-        cache, marks = self.cache, self.marks
-        parted, bare, tails, others = [], set(), set(), []
-        for p in new:
-            word = p.rstrip(_MARKS)
-            if not word.isalpha():
-                others.append(p)
-                continue
-            if word is not p and len(word) < len(p):
-                tail = p[len(word) :]
-                parted.append((p, word, tail))
-                if tail not in marks:
-                    tails.add(tail)
-            if word not in cache:
-                bare.add(word)
-        some = list(bare)
-        cache.update(zip(some, self.words(some)))
+        groups = pa.array([*range(0, len(words), _MANY), len(words)], pa.int32())
+        joined = _list(pc.binary_join(pa.ListArray.from_arrays(groups, words), " "))
+        for i in range(0, len(joined), _CALL):
+            for k, got in enumerate(self.tokenizer.encode_batch_fast([space + g for g in joined[i : i + _CALL]], add_special_tokens=False), i):
+                group = words[k * _MANY : (k + 1) * _MANY]
+                own = np.array(got.ids, np.uint32)
+                edge = np.flatnonzero(self.edge[own])
+                if len(edge) == len(group):
+                    ids.append(own)
+                    size.append(np.diff(np.append(edge, len(own)) if space else np.insert(edge + 1, 0, 0)))
+                else:
+                    alone = self.encoded(group, [space + w for w in _list(group)])
+                    ids.append(alone.ids)
+                    size.append(alone.size)
+        return Pieces(words, np.concatenate(ids), np.concatenate(size))
+
+    def learn(self, new: pa.Array) -> None:
+        """Append pieces to the known ones. A word and the marks after it never merge, so both are looked up apart."""
+        word = pc.utf8_rtrim(new, characters=_MARKS)
+        letters = pc.utf8_is_alpha(word).to_numpy(zero_copy_only=False)
+        lettered, other = np.flatnonzero(letters), np.flatnonzero(~letters)
+        coded = word.take(pa.array(lettered)).dictionary_encode()
+        at = self.known.find(coded.dictionary)
+        fresh = self.words(coded.dictionary.filter(pa.array(at < 0)))
+        at[at < 0] = len(self.known) + np.arange(len(fresh))
         space = "" if self.dropped else " "
-        cache.update(zip(others, self.whole([p[1:] if p[0] == _FIRST else p if p[0] == _LINE else space + p for p in others])))
-        if tails:
-            marks.update(zip(tails, self.whole(list(tails))))
-        cache.update([(p, cache[word] + marks[tail]) for p, word, tail in parted])
+        others = new.take(pa.array(other))
+        others = self.encoded(others, [p[1:] if p[0] == _FIRST else p if p[0] == _LINE else space + p for p in _list(others)])
+        longer = pc.subtract(pc.binary_length(new), pc.binary_length(word)).to_numpy()
+        parted = np.flatnonzero(letters & (longer > 0))
+        tails: dict[str, int] = {}
+        tail = np.fromiter((tails.setdefault(p[-n:], len(tails)) for p, n in zip(_list(new.take(pa.array(parted))), longer[parted].tolist())), np.int64, len(parted))
+        marks = self.encoded(pa.array(tails, pa.string(), size=len(tails)), list(tails))
+        # A piece is one of these, or two in a row.
+        units = Pieces.joined(self.known, fresh, others, marks)
+        first, second = np.empty(len(new), np.int64), np.full(len(new), -1)
+        first[lettered] = at[coded.indices.to_numpy()]
+        first[other] = len(self.known) + len(fresh) + np.arange(len(others))
+        second[parted] = len(units) - len(marks) + tail
+        both = np.stack([first, second], 1).ravel()
+        size = units.size[first] + np.where(second < 0, 0, units.size[second])
+        learnt = Pieces(new, units.gather(both[both >= 0]), size)
+        # Words that stood with marks alone are known from now on, too.
+        self.known = Pieces.joined(self.known, learnt, fresh.some(np.flatnonzero(learnt.find(fresh.texts) < 0)))
 
     def flat(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids (unsigned 32 bits) of all texts, and the place of each text's first; null texts have none."""
         texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
-        if len(self.cache) > self.most:
-            self.cache.clear()
-            self.marks.clear()
+        if len(self.known) > self.most:
+            self.known = self.known.some(np.union1d([0, 1], self.recent))
         odd = pc.match_substring_regex(texts, _ODD)
         apart = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
         alone = self.whole([texts[int(i)].as_py() for i in apart])
@@ -142,19 +193,16 @@ class Encoder:
         cut = pc.split_pattern(plain, " ")
         offsets = cut.offsets.to_numpy().astype(np.int64)
         coded = cut.flatten().dictionary_encode()
-        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        cache = self.cache
-        cache[""] = cache[_FIRST] = b""
-        self.learn([p for p in pieces if p not in cache])
-        found = pa.array(map(cache.__getitem__, pieces), pa.binary(), size=len(pieces))
-        begin = np.frombuffer(found.buffers()[1], "<i4", len(found) + 1) // 4
-        known = np.frombuffer(found.buffers()[2] or b"", "<u4", begin[-1])
-        lists, size = pa.ListArray.from_arrays(pa.array(begin), pa.array(known)), np.diff(begin)
-        index = coded.indices.to_numpy()
-        upto = np.insert(np.cumsum(size[index]), 0, 0)
-        ids, at = lists.take(coded.indices).flatten().to_numpy(), upto[offsets - offsets[0]]
-        for i, raw in zip(apart[::-1], alone[::-1]):
-            own = np.frombuffer(raw, "<u4")
+        place = self.known.find(coded.dictionary)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            place[new] = len(self.known) + np.arange(len(new))
+            self.learn(coded.dictionary.take(pa.array(new)))
+        self.recent = place
+        index = place[coded.indices.to_numpy()]
+        upto = np.insert(np.cumsum(self.known.size[index]), 0, 0)
+        ids, at = self.known.gather(index), upto[offsets - offsets[0]]
+        for i, own in zip(apart[::-1], alone[::-1]):
             ids = np.concatenate([ids[: at[i]], own, ids[at[i] :]])
             at[i + 1 :] += len(own)
         return ids, at

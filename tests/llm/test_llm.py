@@ -339,6 +339,21 @@ def test_encoder_agrees_with_the_library():
         assert e.ids(texts) == whole
 
 
+def test_words_of_the_last_batch_stay_known():
+    e = tokens.Encoder(tokens.vocabulary_path("word_bpe_49k.json"))
+    library, given, e.most = e.tokenizer, [], 2
+
+    class Counted:
+        def encode_batch_fast(self, texts, **more):
+            given.extend(texts)
+            return library.encode_batch_fast(texts, **more)
+
+    e.tokenizer, texts = Counted(), ["one two, three", "two three? 4", "", None]
+    first = e.ids(texts)
+    given.clear()
+    assert e.ids(texts) == first and not given
+
+
 def test_shard_files(odd, empty):
     path = tokens.vocabulary_path("word_bpe_49k.json")
     got = sorted(repair.read_docs(repair.write_shards(odd, path, shard=500), with_ids=True).collect(), key=lambda r: r["start"])
