@@ -35,6 +35,7 @@ from terraloom.llm.tokens import Encoder, gathered
 
 CAPACITY = 1024
 SLICE = 100_000  #: pieces that one (length, slice) holds, about
+ROWS = 500  #: texts tokenized at once: memory of a worker follows them
 
 
 def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -52,7 +53,7 @@ def pieces(docs: DataFrame, vocabulary: str, end: int = 2, capacity: int = CAPAC
 
     def run(batches):
         encoder = Encoder.of(vocabulary)
-        for batch in gathered(batches, 1):
+        for batch in (part.slice(k, ROWS) for part in gathered(batches, 1) for k in range(0, part.num_rows, ROWS)):
             rows = []
             for doc, raw in zip(batch.column(0).to_pylist(), encoder.ids(batch.column(1))):
                 raw += last

@@ -3,7 +3,10 @@
 import hashlib
 import itertools
 import math
+import os
 import re
+import subprocess
+import sys
 import time
 import zlib
 from collections import Counter
@@ -354,6 +357,32 @@ def test_words_of_the_last_batch_stay_known():
     assert e.ids(texts) == first and not given
 
 
+def test_memory_of_a_packing_worker():
+    """Of new words alone, of which nothing is found again."""
+    code = """
+import resource, sys
+import numpy as np, pyarrow as pa
+from terraloom.llm import packing, tokens
+
+class Docs:
+    sparkSession = type("S", (), {"conf": type("C", (), {"get": lambda *a: "1000"})()})
+    select = lambda self, *names: self
+    mapInArrow = lambda self, run, schema: run
+
+run = packing.pieces(Docs(), path := tokens.vocabulary_path("byte_bpe_50k.json"), with_ids=False)
+tokens.Encoder.of(path)
+rng = np.random.default_rng(0)
+texts = [" ".join(bytes(w).decode() for w in rng.integers(97, 123, (400, 7), np.uint8)) for _ in range(3000)]
+batches = [pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(texts[k : k + 1000])], names=["doc_id", "text"]) for k in (0, 1000, 2000)]
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+assert sum(b.num_rows for b in run(iter(batches))) >= 3000
+print("MB", (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
+"""
+    said = subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(packing.__file__) + "/../..", capture_output=True, text=True, timeout=300)
+    assert said.returncode == 0, said.stderr
+    assert float(said.stdout.split()[-1]) < 200, said.stdout  # 411 with a table of Python's and batches of 1,000 texts
+
+
 def test_shard_files(odd, empty):
     path = tokens.vocabulary_path("word_bpe_49k.json")
     got = sorted(repair.read_docs(repair.write_shards(odd, path, shard=500), with_ids=True).collect(), key=lambda r: r["start"])
