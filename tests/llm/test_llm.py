@@ -546,6 +546,31 @@ def test_lines_of_a_crowd_are_not_expanded(spark, monkeypatch):
     assert got == want and 0 < len(want) < len(sets)
     assert sum(t.count() for t in stored["line-pairs"]) <= 4 * len(sets)  # a pair per shown code, at most
 
+def test_line_dedup_deals_shown_codes_once(spark, monkeypatch):
+    """Both sides of the join of all shown codes are one exchange, and no plan or its text holds a large constant."""
+    rng = np.random.default_rng(4)
+    rows = [(i, "\n".join(" ".join(rng.choice([f"k{j}" for j in range(80)], 9)) for _ in range(3)) + "\n" + near(i)) for i in range(60)]
+    plans, keep = [], linededup.store
+
+    def stored(df, label, *a):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return keep(df, label, *a)
+
+    monkeypatch.setattr(linededup, "store", stored)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = {(r["doc_id"], k) for r in linededup.report(spark.createDataFrame([(*r, "a", 0.0) for r in rows], DOCS)).collect() for k in r["removed_lines"]}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert got == brute_lines(rows)
+    passes = [p for label, p in plans if label == "line-met"]
+    assert passes and all("ReusedExchange" in p for p in passes)
+    assert len(plans) <= 14 and sum(len(p) for _, p in plans) < 2_000_000
+
+
 
 # 9
 def test_fixity_audit(spark):
