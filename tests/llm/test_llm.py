@@ -572,6 +572,27 @@ def test_line_dedup_deals_shown_codes_once(spark, monkeypatch):
 
 
 
+def test_lines_of_a_middle_length_are_told_apart_where_they_meet(spark, monkeypatch):
+    """Unrelated lines just under and over ``WIDE`` words that show common codes: none is looked up again but those of a match."""
+    rng = np.random.default_rng(7)
+    words = [f"v{i}" for i in range(900)]
+    rows = [(i, " ".join(rng.choice(words, linededup.WIDE + (-5 if i % 2 else 5), replace=False))) for i in range(40)]
+    rows += [(40, rows[0][1] + " one more"), (41, " ".join(rows[1][1].split()[4:])), (42, "\n".join([rows[2][1] + " x", "short one here now"])), (43, "here now short one too")]
+    stored, keep = {}, linededup.store
+    monkeypatch.setattr(linededup, "store", lambda df, label, *a: stored.setdefault(label, []).append(keep(df, label, *a)) or stored[label][-1])
+    got = {(r["doc_id"], k) for r in linededup.report(spark.createDataFrame([(*r, "a", 0.0) for r in rows], DOCS)).collect() for k in r["removed_lines"]}
+    assert got == brute_lines(rows) == {(40, 0), (41, 0), (42, 0), (43, 0)}
+    assert stored["line-ends"][0].count() == 8  # two of each match
+
+
+def test_repeated_rows_and_null_ids_keep_their_places(spark):
+    """Rows given twice, two texts of one doc_id and documents without one: matches are found by the places of their sets."""
+    line = "a b c d e f g h i j"
+    rows = [(None, line), (1, line + " k"), (1, line + " k"), (2, "x1 x2 x3 x4 x5 x6 x7 x8"), (2, "y\nx1 x2 x3 x4 x5 x6 x7"), (3, "b c d e f g h i j k")]
+    got = sorted((r["doc_id"] or 0, r["n_lines"], *r["removed_lines"]) for r in linededup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, 1), (1, 1, 0), (1, 1, 0), (2, 1), (2, 2, 1), (3, 1, 0)]
+
+
 # 9
 def test_fixity_audit(spark):
     rows = [(i, f"u{i}", f"page {i} " * (i % 7)) for i in range(300)] + [(None, None, None), (5, "u5", "again")]
