@@ -63,6 +63,11 @@ def test_chunks(spark):
     assert [r["c"] for r in got] == [["One. Two!", "Three?"], [""], ["x" * 300]]
 
 
+def test_chunks_keep_digits_at_the_ends_of_sentences(spark):
+    got = spark.createDataFrame([("0997 is a number. 1 more  . No 2",), ("  spaced  ",)], "s string").select(t.chunks(F.col("s"), 10).alias("c")).collect()
+    assert [r["c"] for r in got] == [["0997 is a number.", "1 more  .", "No 2"], ["spaced"]]
+
+
 def test_hashed_embeddings_have_unit_length():
     m = text.blake_embed(["a river and a fault", ""], 64)
     assert np.linalg.norm(m[0]) == pytest.approx(1, abs=1e-6) and not m[1].any()
