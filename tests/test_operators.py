@@ -58,6 +58,19 @@ def test_spatial_join_is_an_equi_join(spark):
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
 
 
+def test_lines_are_judged_apart(spark):
+    rng = np.random.default_rng(5)
+    lines = [(1, np.cumsum(np.vstack([rng.uniform(0, 3, 2), rng.uniform(-0.2, 0.4, (3, 2))]), 0)) for _ in range(60)]
+    f = _features(spark, [(2, SQUARE), (0, [(1, 1)]), (1, [(-1, 1), (3, 1)]), *lines])
+    every = f.select(F.struct("*").alias("a")).crossJoin(f.select(F.struct("*").alias("b"))).where("a.id <> b.id")
+    other = F.col("a.id") != F.col("b.id")
+    for name in ("ST_Intersects", "ST_Touches", "ST_Contains"):
+        joined = spatial.spatial_join(f, f, name, other)
+        want = sorted(map(tuple, every.where(g.predicate(name)(F.col("a.geom"), F.col("b.geom"))).select("a.id", "b.id").collect()))
+        assert want and sorted(map(tuple, joined.select("a.id", "b.id").collect())) == want
+        assert name == "ST_Contains" or "explode(_s" in joined._jdf.queryExecution().executedPlan().toString()
+
+
 def test_chunks(spark):
     got = spark.createDataFrame([("One. Two! Three?",), ("",), ("x" * 300,)], "s string").select(t.chunks(F.col("s"), 10).alias("c")).collect()
     assert [r["c"] for r in got] == [["One. Two!", "Three?"], [""], ["x" * 300]]
