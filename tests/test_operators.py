@@ -42,6 +42,12 @@ def test_predicates(spark, a, b, want):
     assert {k for k, v in got.items() if v} == set(want.split())
 
 
+def test_a_first_vertex_on_the_wide_boundary_is_inside(spark):
+    f = _features(spark, [(1, [(2 + 2e-13, 1), (1, 1)]), (2, SQUARE)])
+    pair = f.where("id=0").select(F.col("geom").alias("a")).join(f.where("id=1").select(F.col("geom").alias("b")))
+    assert pair.select(g.st_intersects(F.col("a"), F.col("b")), g.st_touches(F.col("a"), F.col("b"))).first() == (True, False)
+
+
 def test_null_geometry_gives_null(spark):
     f = _features(spark, [(0, [(1, 1)])]).select("geom", F.when(F.lit(False), F.col("geom")).alias("none"))
     assert f.select(g.st_intersects(F.col("geom"), F.col("none"))).first()[0] is None
