@@ -10,8 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from terraloom.functions import text as t
+from terraloom.sources.store import stored
 
 DIM = 1536
+PART = 2 << 20  #: bytes of stored text to a task, where each text makes many rows
+SLICE = 256  #: texts embedded at a time at most,
+CHARS = 1 << 18  #: and characters, unless one text has more
 
 
 def chunk_table(docs: DataFrame, size: int = t.CHUNK) -> DataFrame:
@@ -20,11 +24,36 @@ def chunk_table(docs: DataFrame, size: int = t.CHUNK) -> DataFrame:
     return rows.select(F.concat(F.col("doc_id").cast("string"), F.format_string("#c%02d", "pos")).alias("chunk_id"), "doc_id", "pos", "text")
 
 
+def dealt(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` dealt by ``key`` over all cores: a stored text is small beside the work on it, and one file may be one task."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return docs.repartition(max(3 * docs.sparkSession.sparkContext.defaultParallelism, min(size // PART, 10_000)), key)
+
+
+def feature_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, f, n, w): the features of ``t.features`` per document, how often each occurs and their summed weight.
+
+    Documents are dealt by id once, in parts of few texts, so that no feature
+    is exchanged; words and pairs are summed first, and a word's trigrams are
+    made once for all its places.
+    """
+    rows = dealt(docs.select("doc_id", "text"), "doc_id").select("doc_id", F.posexplode(t.with_next(t.tokens(F.col("text")))).alias("i", "p")).select("doc_id", "i", "p.t", "p.next")
+    soft = F.when(F.col("t").isin(*t.STOPWORDS), 0.35).otherwise(1.0)
+    one = F.struct(F.concat(F.lit("w:"), "t").alias("f"), (2.0 / F.sqrt(1 + F.log1p((F.col("i") + 1).cast("double"))) * soft).alias("w"))
+    both = F.struct(F.concat(F.lit("b:"), "t", F.lit("_"), "next").alias("f"), (0.7 * soft).alias("w"))
+    whole = rows.select("doc_id", F.explode(F.array(one, both)).alias("e")).where(F.col("e.f").isNotNull()).groupBy("doc_id", "e.f").agg(F.count(F.lit(1)).alias("n"), F.sum("e.w").alias("w"))
+    word, padded = F.substring("f", 3, 2**31 - 1), F.concat(F.lit("^"), F.substring("f", 3, 2**31 - 1), F.lit("$"))
+    weight = F.when(word.isin(*t.STOPWORDS), 0.18 * 0.35).otherwise(0.18) * F.col("n")
+    spelt = whole.where(F.col("f").startswith("w:")).select("doc_id", "n", weight.alias("w"), padded.alias("_p"), F.explode(F.sequence(F.lit(1), F.length("f") - 2)).alias("j"))
+    grams = spelt.select("doc_id", F.concat(F.lit("c:"), F.substring(F.col("_p"), F.col("j"), F.lit(3))).alias("f"), "n", "w").groupBy("doc_id", "f").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
+    return whole.union(grams)
+
+
 def embed_md5(docs: DataFrame, dim: int = DIM) -> DataFrame:
-    """Sparse hashed embeddings (doc_id, idx, v) of unit length, by md5: all in the JVM."""
-    rows = docs.select("doc_id", F.explode(t.features(F.col("text"))).alias("e")).select("doc_id", "e.f", "e.w")
-    h = F.conv(F.substring(F.md5("f"), 1, 12), 16, 10).cast("long")
-    sign = F.when(F.conv(F.substring(F.md5("f"), 13, 1), 16, 10).cast("int") >= 8, 1.0).otherwise(-1.0)
+    """Sparse hashed embeddings (doc_id, idx, v) of unit length, by md5: all in the JVM, each feature of a document hashed once."""
+    rows = feature_rows(docs).select("doc_id", "w", F.md5("f").alias("m"))
+    h = F.conv(F.substring("m", 1, 12), 16, 10).cast("long")
+    sign = F.when(F.substring("m", 13, 1) >= "8", 1.0).otherwise(-1.0)
     sums = rows.groupBy("doc_id", (h % dim).alias("idx")).agg(F.sum(F.col("w") * sign).alias("v"))
     length = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("doc_id")))
     return sums.select("doc_id", "idx", (F.col("v") / F.nullif(length, F.lit(0.0))).alias("v"))
@@ -62,31 +91,47 @@ def blake_embed(texts: list[str], dim: int = DIM) -> np.ndarray:
     return np.divide(out, length, out=out, where=length > 0)
 
 
+def slices(texts: list[str], rows: int = SLICE, chars: int = CHARS):
+    """(start, length) of runs of texts that are bounded in number and characters; a longer text stands alone."""
+    start = held = 0
+    for i, text in enumerate(texts):
+        if i > start and (i - start >= rows or held + len(text or "") > chars):
+            yield start, i - start
+            start, held = i, 0
+        held += len(text or "")
+    if len(texts) > start:
+        yield start, len(texts) - start
+
+
 def embed_blake2b(docs: DataFrame, dim: int = DIM) -> DataFrame:
     """Dense hashed embeddings (doc_id, embedding) by BLAKE2b, which Spark lacks: Arrow batches."""
 
     def run(batches):
         for batch in batches:
-            m = blake_embed(batch.column(1).to_pylist(), dim)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(m), pa.list_(pa.float32()))], names=["doc_id", "embedding"])
+            texts = batch.column(1).to_pylist()
+            for start, n in slices(texts):
+                m = blake_embed(texts[start : start + n], dim)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), pa.array(list(m), pa.list_(pa.float32()))], names=["doc_id", "embedding"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, embedding array<float>")
+    return dealt(docs.select("doc_id", "text"), "doc_id").mapInArrow(run, "doc_id long, embedding array<float>")
 
 
 def bm25(docs: DataFrame, query: str, columns: tuple[str, ...] = ("text",), key: str = "doc_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(key, score) of rows that hold any query word; repeated words count again, rare ones at least 1e-6."""
     terms = [t.bare(w) for w in t.query_terms(query)]
-    toks = F.concat(*[t.words(F.coalesce(F.col(c), F.lit(""))) for c in columns])
-    which = lambda x: F.coalesce(*[F.when(t.matches(x, w), w) for w in sorted(set(terms))], F.lit(None).cast("string"))
-    hits = F.filter(F.transform("toks", which), lambda x: x.isNotNull())
-    rows = docs.select(key, toks.alias("toks")).select(key, F.size("toks").cast("double").alias("dl"), hits.alias("hits"))
-    return scored(rows, terms, key, k1, b)
+    low = [F.lower(F.coalesce(F.col(c), F.lit(""))) for c in columns]
+    # Texts are read once; the words of the query are found by one pattern, and no other word becomes a value.
+    hits = F.concat(*[t.occurrences(c, terms) for c in low])
+    length = sum((t.word_count(c) for c in low[1:]), t.word_count(low[0])).cast("double")
+    return scored(stored(dealt(docs.select(key, *columns), key).select(key, length.alias("dl"), hits.alias("hits"))), terms, key, k1, b)
 
 
 def scored(rows: DataFrame, terms: list[str], key: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(key, score) of rows (key, dl, hits): a text's length in words and the query words in it."""
+    """(key, score) of rows (key, dl, hits): a text's length in words and the words in it that match the query's."""
     stats = rows.agg(F.count(F.lit(1)).cast("double").alias("nd"), F.avg("dl").alias("avgdl"))
-    tf = rows.where(F.size("hits") > 0).select(key, "dl", F.explode("hits").alias("term")).groupBy(key, "dl", "term").agg(F.count(F.lit(1)).cast("double").alias("f"))
+    which = F.coalesce(*[F.when(t.matches(F.col("word"), w), w) for w in sorted(set(terms))], F.lit(None).cast("string"))
+    found = rows.where(F.size("hits") > 0).select(key, "dl", F.explode("hits").alias("word")).select(key, "dl", which.alias("term")).where(F.col("term").isNotNull())
+    tf = found.groupBy(key, "dl", "term").agg(F.count(F.lit(1)).cast("double").alias("f"))
     return weighed(tf, stats, terms, key, k1, b)
 
 
@@ -146,8 +191,10 @@ def embedded(rows: DataFrame, embed, text: str = "text") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            m = embed([x or "" for x in batch.column(at).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(m), pa.list_(pa.float32()))], names=[f.name for f in kept] + ["embedding"])
+            texts = [x or "" for x in batch.column(at).to_pylist()]
+            for start, n in slices(texts):
+                m = embed(texts[start : start + n])
+                yield pa.RecordBatch.from_arrays([*batch.slice(start, n).columns, pa.array(list(m), pa.list_(pa.float32()))], names=[f.name for f in kept] + ["embedding"])
 
     return rows.select(*[f.name for f in kept]).mapInArrow(run, T.StructType([*kept, T.StructField("embedding", T.ArrayType(T.FloatType()))]))
 
