@@ -27,7 +27,8 @@ def chunk_table(docs: DataFrame, size: int = t.CHUNK) -> DataFrame:
 def dealt(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` dealt by ``key`` over all cores: a stored text is small beside the work on it, and one file may be one task."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return docs.repartition(max(3 * docs.sparkSession.sparkContext.defaultParallelism, min(size // PART, 10_000)), key)
+    parts = size // PART if size < 1 << 50 else int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # rows that aren't files have no known size
+    return docs.repartition(max(3 * docs.sparkSession.sparkContext.defaultParallelism, min(parts, 10_000)), key)
 
 
 def feature_rows(docs: DataFrame) -> DataFrame:
